@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import line_dedup, mixing, packing, sharding, token_files
-from tidefold.llm.common import read_documents, written
+from tidefold.llm import line_dedup, media, mixing, ngram_join, packing, quality, secret_scan, sharding, token_files, toxicity
+from tidefold.llm.common import read_documents, read_table, written
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.examine(media.store(read_documents(spark, sf_dir).select("doc_id", "text"))).drop("clips")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -31,17 +35,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(read_documents(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_mixing": op2_mixing,
+        "op3_media": op3_media,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
+        "op6_secret_scan": op6_secret_scan,
         "op7_token_files": op7_token_files,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
