@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import line_dedup, media, mixing, ngram_join, packing, quality, secret_scan, sharding, token_files, toxicity
+from tidefold.llm import line_dedup, media, mixing, ngram_join, oracles, packing, quality, secret_scan, sharding, token_files, toxicity
 from tidefold.llm.common import read_documents, read_table, written
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op2_mixing": oracles.MIXING, "op5_sharding": oracles.SHARDING}
