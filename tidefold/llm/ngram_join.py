@@ -212,7 +212,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "sh")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
+    # ranges hold about as many rows each, however many block pairs a large component has
+    ordered = dealt.repartitionByRange(parts, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     found = written(ordered.mapInArrow(_verify, "u bigint, v bigint, links bigint"), "links")
     counts = found.where("links is not null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("n_links"))
     groups = components(found.where("v is not null").select("u", "v"))
