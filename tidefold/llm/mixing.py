@@ -101,7 +101,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, schedules: Seq
         buckets.groupBy("source").agg(F.sum("__n").alias("source_size")), share, max_repeat, [weight(k) for k in schedules]
     )
     starts = buckets.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-    starts = starts.select(F.col("source").alias("__source"), F.col("__b").alias("__bucket"), "__before", "source_size", "target", "class")
+    starts = starts.select(F.col("source").alias("__source"), F.col("__b").alias("__bucket"), "__before", "source_size", "target", F.col("class").alias("__class"))
     inside = Window.partitionBy("source", "__b").orderBy("__r", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__bucket"))
@@ -111,12 +111,12 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, schedules: Seq
     for m in middle:
         u, t = m / (2 * F.col("target")), F.lit(None).cast("double")
         for c, knots in enumerate(schedules):
-            t = F.when(F.col("class") == c, inverse_demand(knots, u)).otherwise(t)
+            t = F.when(F.col("__class") == c, inverse_demand(knots, u)).otherwise(t)
         times.append(F.when((F.col("size") > 0) & (m < 2 * F.col("target")), t))
     return (
         placed.withColumn("positions", F.array_compact(F.array(*times)))
         .withColumn("taken", F.col("size") * F.size("positions"))
-        .drop("__r", "__tie", "__b", "__in", "__source", "__bucket", "__before", "class")
+        .drop("__r", "__tie", "__b", "__in", "__source", "__bucket", "__before", "__class")
     )
 
 
