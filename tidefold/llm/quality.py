@@ -33,7 +33,7 @@ from tidefold.llm.common import SPACES, or_empty, written
 from tidefold.llm.shingles import in_slices, windows, word_hashes
 
 BUCKET_BITS, COMMON_SHARE, LANGUAGE_SHARE = 14, 0.003, 0.01
-MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 40, 0.24, 0.32
+MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 40, 0.24, 0.28
 RESULT = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, char_distance double, word_distance double, kept boolean"

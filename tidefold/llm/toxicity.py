@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import columns_but, or_empty
 
-SAMPLE, SAMPLE_CHARS, STEM_LETTERS, MAX_STEMS = 8_000, 200_000, (4, 5, 6), 60
+SAMPLE, SAMPLE_CHARS, STEM_LETTERS, LEVELS, MISTAKES, MAX_STEMS = 6_000, 200_000, (4, 5, 6, 7), 3, 0.25, 60
 
 #: Insults as whole words.
 LEXICON = (
@@ -50,14 +50,19 @@ LEXICON = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: What stands behind the terms' own columns in ``features``.
+EXTRA = ("word", "words", "stems", "two stems", "three stems", "stem density", "length", "exclamation", "symbols")
+
+
 @dataclass
 class Model:
-    """Terms (whole words, then stems) and the classifier's weights."""
+    """Terms (whole words, then stems) and the classifier's weights; ``levels``: how often a stem must come to vote."""
 
     words: list[str]
     stems: list[str]
     weights: np.ndarray
     bias: float
+    levels: list[int] = field(default_factory=list)
     accuracies: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -66,7 +71,7 @@ class Model:
         words = "|".join(re.escape(w) for w in sorted(self.words, key=len, reverse=True))
         parts = [f"(?:{words})(?![^\\W\\d_])"] * bool(words) + [f"(?:{stems})"] * bool(stems)
         self.pattern = re.compile(f"(?<![^\\W\\d_])(?:{'|'.join(parts)})") if parts else None
-        # a term that begins with another is found by the shorter one's search
+        # a term that holds another is found by the other's search
         self.seek = [t for t in self.place if not any(o != t and o in t for o in self.place)]
 
     def hits(self, text: str) -> Counter:
@@ -75,69 +80,86 @@ class Model:
             return Counter()
         return Counter(self.place[t] for t in self.pattern.findall(low))
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = features([self.hits(t) for t in texts], texts, len(self.place))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Whether each term votes, then ``EXTRA``."""
+        terms, n_words = len(self.place), len(self.words)
+        least = [1] * n_words + (list(self.levels) or [1] * len(self.stems))
+        x = np.zeros((len(texts), terms + len(EXTRA)))
+        for row, t in enumerate(texts):
+            h, length, n = self.hits(t), t.count(" ") + 1, max(1, len(t))
+            for k, c in h.items():
+                x[row, k] = c >= least[k]
+            word, stem = (sum(c for k, c in h.items() if (k < n_words) == own) for own in (True, False))
+            x[row, terms:] = (
+                word > 0, np.log1p(word), np.log1p(stem), stem > 1, stem > 2, min(5.0, 100 * stem / (length + 20)),
+                np.log1p(length) / 8, min(1, 20 * t.count("!") / n), min(1, 10 * (t.count("#") + t.count("*")) / n),
+            )
+        return x
+
+    def votes(self, x: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """0/1 votes of each term and of the patterns, and their names."""
+        terms = len(self.place)
+        e = dict(zip(EXTRA, x[:, terms:].T))
+        patterns = {
+            "any word": e["word"] > 0, "two words": e["words"] > np.log(2.5), "two stems": e["two stems"] > 0, "three stems": e["three stems"] > 0,
+            "dense stems": e["stem density"] > 0.7, "no hit": (e["word"] == 0) & (e["stems"] == 0), "exclamation": e["exclamation"] > 0.5, "symbols": e["symbols"] > 0.5,
+        }
+        return np.hstack([x[:, :terms], np.stack(list(patterns.values()), axis=1)]).astype(float), [*self.place, *patterns]
 
-
-def features(hits: list[Counter], texts: list[str], terms: int) -> np.ndarray:
-    """Presence of each term, then: any hit, log of hits, log of different hits, exclamation marks, symbols."""
-    x = np.zeros((len(texts), terms + 5))
-    for row, (h, t) in enumerate(zip(hits, texts)):
-        for k in h:
-            x[row, k] = 1
-        if h:
-            x[row, terms : terms + 3] = 1, np.log1p(sum(h.values())), np.log1p(len(h))
-        n = max(1, len(t))
-        x[row, terms + 3 :] = min(1, 20 * t.count("!") / n), min(1, 10 * (t.count("#") + t.count("*")) / n)
-    return x
+    def score(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights + self.bias, -30, 30)))
 
 
-def mine_stems(texts: list[str], toxic: np.ndarray, known: set[str]) -> list[str]:
-    """Beginnings of words that toxic texts have and other texts all but never.
+def mine_stems(texts: list[str], toxic: np.ndarray, known: set[str]) -> tuple[list[str], list[int]]:
+    """Beginnings of words that toxic texts have once, twice or three times, and other texts rarely; with that number.
 
     Support is counted in groups of texts of the same least word hash, so that
     near copies count about once, and a beginning must have several endings:
     first those that cover the most toxic texts without a known word, then
     further ones as clear as those.
     """
-    docs = [set(_WORD.findall(t.lower())) for t in texts]
-    groups = [min((zlib.crc32(w.encode()) for w in words), default=0) for words in docs]
+    words, groups = {}, {}  # of toxic texts; the others pass one at a time
     endings: dict[str, set[str]] = defaultdict(set)
-    having: dict[str, set[int]] = defaultdict(set)
+    having: dict[tuple[str, int], set[int]] = defaultdict(set)
+
+    def counted(own: list[str], wanted=None) -> Counter:
+        starts = [w[:n] for w in own for n in STEM_LETTERS if len(w) >= n]
+        return Counter(starts if wanted is None else filter(wanted.__contains__, starts))
+
     for i in np.flatnonzero(toxic):
-        for w in docs[i]:
+        own = _WORD.findall(texts[i].lower())
+        words[i] = set(own)
+        groups[i] = min((zlib.crc32(w.encode()) for w in words[i]), default=0)
+        for w in words[i]:
             for n in STEM_LETTERS:
                 if len(w) >= n:
                     endings[w[:n]].add(w)
-                    having[w[:n]].add(i)
-    support = {s: len({groups[i] for i in at}) for s, at in having.items()}
-    bad: Counter = Counter()
-    for words, y in zip(docs, toxic):
-        if not y:
-            bad.update(words)
-    other: Counter = Counter()
-    for w, n in bad.items():
-        for k in STEM_LETTERS:
-            if w[:k] in support:
-                other[w[:k]] += n
+        for s, c in counted(own).items():
+            for level in range(1, min(c, LEVELS) + 1):
+                having[s, level].add(i)
     least = max(3, int(0.002 * toxic.sum()))
-    fit_for = [s for s in support if support[s] >= least and len(endings[s]) >= 3 and other[s] <= 0.01 * support[s]]
-    fit_for = [s for s in fit_for if not any(w.startswith(s) for w in known)]
-    left = {i for i in np.flatnonzero(toxic) if not docs[i] & known}
-    chosen: list[str] = []
+    support = {k: len({groups[i] for i in at}) for k, at in having.items() if len(at) >= least and len(endings[k[0]]) >= 3}
+    support = {k: n for k, n in support.items() if n >= least and not any(w.startswith(k[0]) for w in known)}
+    stems = {s for s, _ in support}
+    bad: Counter = Counter()
+    for i in np.flatnonzero(toxic == 0):
+        found = counted(_WORD.findall(texts[i].lower()), stems)
+        bad.update((s, level) for s, c in found.items() for level in range(1, min(c, LEVELS) + 1))
+    clear = {k: n for k, n in support.items() if bad[k] <= MISTAKES * n}
+    left = {i for i in np.flatnonzero(toxic) if not known & words[i]}
+    chosen: list[tuple[str, int]] = []
     while left and len(chosen) < MAX_STEMS:
-        gain = {s: len({groups[i] for i in having[s] & left}) for s in fit_for}
-        best = max(gain, key=lambda s: (gain[s], support[s], len(s), s), default=None)
+        gain = {k: len({groups[i] for i in having[k] & left}) - bad[k] for k in clear}
+        best = max(gain, key=lambda k: (gain[k], support[k], len(k[0]), k), default=None)
         if best is None or gain[best] < least:
             break
         chosen.append(best)
         left -= having[best]
-    clear = [s for s in fit_for if support[s] >= max(6, 0.02 * toxic.sum())]
-    for s in sorted(clear, key=lambda s: (-support[s], len(s), s)):
-        if len(chosen) < MAX_STEMS and not any(s.startswith(c) or c.startswith(s) for c in chosen):
-            chosen.append(s)
-    return chosen
+    sure = [k for k in clear if support[k] >= max(5, 0.01 * toxic.sum()) and bad[k] <= 0.02 * support[k]]
+    for k in sorted(sure, key=lambda k: (-support[k], k)):
+        if len(chosen) < MAX_STEMS and not any(k[0].startswith(c) or c.startswith(k[0]) for c, _ in chosen):
+            chosen.append(k)
+    return [s for s, _ in chosen], [n for _, n in chosen]
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,22 +206,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     clean = Counter(k for t, y in zip(texts, toxic) if not y for k in model.hits(t))
     foul = Counter(k for t, y in zip(texts, toxic) if y for k in model.hits(t))
     words = [w for w, k in model.place.items() if clean[k] <= foul[k]]  # not what is an ordinary word here
-    stems = mine_stems(texts, toxic, set(words)) if len(texts) else []
-    model = Model(words, stems, np.zeros(0), 0.0)
-    terms = len(model.place)
     if not len(texts) or not toxic.any():
-        weights = np.concatenate([np.zeros(terms), [4.0, 2.0, 1.0, 0.0, 0.0]])
-        return Model(model.words, [], weights, -4.0)
-    hits = [model.hits(t) for t in texts]
-    x = features(hits, texts, terms)
-    n_hits = np.array([sum(h.values()) for h in hits])
-    patterns = np.stack([n_hits >= 1, n_hits >= 2, n_hits == 0, np.array([len(h) >= 2 for h in hits]), x[:, -2] > 0.5, x[:, -1] > 0.5], axis=1)
-    votes = np.hstack([x[:, :terms], patterns, toxic[:, None]]).astype(float)  # the annotator votes too
-    start = np.where(toxic > 0, 0.9, 0.05)
-    post, rates, _ = label_model(votes, start)
+        weights = np.zeros(len(words) + len(EXTRA))
+        weights[len(words) : len(words) + 2] = 4.0, 2.0
+        return Model(words, [], weights, -4.0)
+    stems, levels = mine_stems(texts, toxic, set(words))
+    model = Model(words, stems, np.zeros(0), 0.0, levels)
+    x = model.features(texts)
+    votes, names = model.votes(x)
+    votes = np.hstack([votes, toxic[:, None]])  # the annotator votes too
+    post, rates, _ = label_model(votes, np.where(toxic > 0, 0.9, 0.05))
     weights, bias = logistic(x, post)
-    names = [*model.place, "any hit", "two hits", "no hit", "two terms", "exclamation", "symbols", "annotator"]
-    return Model(model.words, stems, weights, bias, {n: (float(a), float(b)) for n, a, b in zip(names, rates[0], rates[1])})
+    return Model(words, stems, weights, bias, levels, {n: (float(a), float(b)) for n, a, b in zip([*names, "annotator"], rates[0], rates[1])})
 
 
 def held_out(doc_id: str = "doc_id"):
