@@ -51,3 +51,11 @@ def test_runs_stay_few_and_counts_decide(spark):
         assert sum(map(len, runs.levels)) <= 3
     counts = {int(bytes(r.key)): r.n for r in runs.counts().collect()}
     assert {k for k, n in counts.items() if n >= 3} == {0, 1, 2} and counts[3] == 2
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Time is linear in lines and drops: 300,000 lines, half of them dropped."""
+    long = "\n".join(f"own {i}" if i % 2 else f"shared {i % 1000}" for i in range(300_000))
+    docs = spark.createDataFrame([(i, long if i == 0 else "\n".join(f"shared {k}" for k in range(0, 1000, 2))) for i in range(10)], "doc_id bigint, text string")
+    row = dedup_lines(docs).where("doc_id = 0").first()
+    assert (row.n_lines, row.n_dropped) == (300_000, 150_000) and row.text.count("\n") == 149_999 and "shared" not in row.text

@@ -10,9 +10,9 @@ added as a run of level 0. When a level has ``fanout`` runs they are merged
 into one run of the next level, so that n batches leave O(log n) runs.
 
 Skew: a line in a third of all documents is counted by partial aggregation.
-In the second pass, keys found in more than ``1 / HOT_SHARE`` of the counted
-lines number at most ``HOT_SHARE`` and are joined by broadcast; the rest,
-none of which is hot, by a shuffle.
+In the second pass, keys that make up more than ``1 / HOT_SHARE`` of all lines
+are fewer than ``HOT_SHARE`` and are joined by broadcast; the rest, none of
+which is hot, by a shuffle.
 
 Defined cases: a null or empty text is one empty line; empty keys are never
 dropped; each input row counts as a document, also where doc_id repeats or is
@@ -103,24 +103,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         runs.add(part.select(F.explode(distinct).alias("key")))
     frequent = written(runs.counts().where(F.col("n") >= min_docs), "frequent-lines")
 
-    total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot_at = max(min_docs, total // HOT_SHARE + 1)
-    hot = frequent.where(F.col("n") >= hot_at).select("key")  # HOT_SHARE keys at most
-    cold = frequent.where(F.col("n") < hot_at).select("key")
     at = keyed.select("doc_id", "h", F.posexplode("keys").alias("at", "key")).where("key is not null")
-    marked = at.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    total = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    often = at.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > total // HOT_SHARE)  # fewer than HOT_SHARE keys
+    hot = often.select("key").join(frequent.select("key", F.lit(True).alias("drop")), "key", "left")
+    marked = at.join(F.broadcast(hot.select("key", F.coalesce("drop", F.lit(False)).alias("hot"))), "key", "left")
     found = marked.where("hot").select("doc_id", "h", "at")
-    rest = marked.where("hot is null").join(cold, "key", "left_semi").select("doc_id", "h", "at")
-    drops = found.unionByName(rest).groupBy("doc_id", "h").agg(F.collect_set("at").alias("__drop"))
+    rest = marked.where("hot is null").join(frequent, "key", "left_semi").select("doc_id", "h", "at")
+    drops = found.unionByName(rest).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("at")).alias("__drop"))
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__drop")
 
-    kept = F.filter(F.col("__lines"), lambda x, i: ~F.coalesce(F.array_contains("__drop", i), F.lit(False)))
+    # the runs of lines between dropped ones, so that time is linear in the lines of a text
+    before = lambda i: F.coalesce(F.get("__ends", i - 1), F.lit(-1))
+    kept = F.flatten(F.transform("__ends", lambda end, i: F.slice("__lines", before(i) + 2, end - before(i) - 1)))
     return (
         docs.select(*columns_but(docs, "n_lines", "n_dropped"), F.xxhash64("text").alias("__own"))
         .join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")), "left")
         .withColumn("__lines", lines_of("text"))
         .withColumn("n_lines", F.size("__lines").cast("bigint"))
         .withColumn("n_dropped", F.when(F.col("__drop").isNotNull(), F.size("__drop")).otherwise(0).cast("bigint"))
+        .withColumn("__ends", F.concat(F.coalesce("__drop", F.array().cast("array<int>")), F.array(F.size("__lines"))))
         .withColumn("text", F.array_join(kept, "\n"))
-        .drop("__id", "__h", "__own", "__drop", "__lines")
+        .drop("__id", "__h", "__own", "__drop", "__lines", "__ends")
     )
