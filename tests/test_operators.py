@@ -38,7 +38,7 @@ def test_hot_keys_are_cut(spark):
     from tidefold.plans.fold import chunk_for
 
     _, log = random_log(spark, ["set"], n=400, keys=2)
-    assert chunk_for(log, ["item"], hot=1000) is None
+    assert chunk_for(log, ["item"], hot=1000) is None and chunk_for(log, ["item"], hot=10**9) is None
     assert 1 <= chunk_for(log, ["item"], hot=50) < 400
     assert chunk_for(log.limit(0), ["item"], hot=50) is None
 

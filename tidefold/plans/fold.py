@@ -36,7 +36,12 @@ def with_last_before(df: DataFrame, name: str, value: Column, by: list[str], ord
 
 
 def chunk_for(log: DataFrame, by: list[str], hot: int = HOT_OPS) -> int | None:
-    """How the sequence must be cut: not at all unless a key has more than ``hot`` operations."""
+    """How the sequence must be cut: not at all unless a key has more than ``hot`` operations.
+
+    A log of fewer bytes than that has no such key, and needs no count.
+    """
+    if int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot:
+        return None
     row = log.groupBy(*by).agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).agg(F.max_by(F.struct("n", "a", "b"), "n").alias("top")).first()
     if row is None or row["top"] is None or row["top"]["n"] <= hot:
         return None
