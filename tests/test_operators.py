@@ -159,3 +159,33 @@ def test_stream_restarts_from_its_checkpoint(spark):
         processor.start(stream, f"{path}/out", f"{path}/cp").awaitTermination()
     got = {r.seq: (r.status, r.result) for r in spark.read.schema(processor.OUT).parquet(f"{path}/out").collect()}
     assert got == expected
+
+
+def test_merging_small_spans():
+    even = lambda shards, n: {(i * 65536 // shards, (i + 1) * 65536 // shards): n // shards for i in range(shards)}
+    assert partition.merged_spans(even(4, 4_000), 0.4) == {(0, 65536): 4_000}
+    assert len(partition.merged_spans(even(32, 200_000), 0.45, expected=200_000)) == 8
+    assert partition.merged_spans(even(4, 100_000), 0.4) == even(4, 100_000)
+    uneven = {(0, 16384): 100, (16384, 32768): 20_000, (32768, 65536): 50}
+    assert partition.merged_spans(uneven, 0.4) == uneven
+
+
+def test_typed_lists_and_deques(spark):
+    rows = [(1, "set", "texas", 108, 1.0), (2, "set", "texas", 555, 2.0), (3, "set", "texas", 827, 3.0), (4, "set", "texas", 123, 4.0), (5, "promote", "texas", 555, 9.0), (6, "remove", "texas", 827, None)]
+    df = spark.createDataFrame(rows, "s bigint, o string, k string, i bigint, v double")
+    strings, ints = typed.TypedList(15), typed.TypedList(9)
+    args = (F.col("s"), F.col("o"), [F.col("k")], [F.col("i")], F.col("v"))
+    both = strings.log(df, *args).unionByName(ints.log(df.where("s < 3"), *args))
+    assert [r.val for r in strings.iter(both).orderBy("pos").collect()] == [1.0, 4.0, 9.0]
+    assert [r.val for r in strings.iter_backwards(both).orderBy("pos").collect()] == [9.0, 4.0, 1.0]
+    assert strings.peek(both, "head").first()["val"] == 1.0 and strings.len(both).first()["n"] == 3 and ints.len(both).first()["n"] == 2
+    wanted = spark.createDataFrame([("texas", 123), ("texas", 827)], "k string, i bigint")
+    assert {(r.i, r.val) for r in strings.get(both, wanted, [F.col("k")], [F.col("i")]).collect()} == {(123, 4.0), (827, None)}
+    assert [r.i for r in strings.contains(both, wanted, [F.col("k")], [F.col("i")]).collect()] == [123]
+    popped, rest = strings.pop(both, "tail")
+    assert popped.first()["val"] == 9.0 and rest.count() == 2
+    pushes = spark.createDataFrame([(i, op, "q", float(v)) for i, (op, v) in enumerate([("push_tail", 100), ("push_tail", 101), ("push_head", 103), ("pop_tail", 0)])], "s bigint, o string, k string, v double")
+    deque = typed.TypedDeque(15)
+    log = deque.log(pushes, F.col("s"), F.col("o"), [F.col("k")], F.col("v"))
+    assert [r.val for r in deque.iter(log).orderBy("idx").collect()] == [103.0, 100.0] and deque.pops(log).first()["val"] == 101.0
+    assert tuple(deque.range(log).first())[1:] == (-1, 1, 2) and deque.peek(log, "head").first()["val"] == 103.0

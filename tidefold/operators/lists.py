@@ -71,7 +71,7 @@ def discard(live: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
     return live.where(gone).select("coll").distinct(), live.where(~gone)
 
 
-def exact(log: DataFrame, kind: str = "double") -> DataFrame:
+def exact(log: DataFrame) -> DataFrame:
     """``(coll, idx, item, val)`` with the indices the log's history gives, by the ordered fold."""
 
     def step(state: ListState, row) -> None:
@@ -83,4 +83,5 @@ def exact(log: DataFrame, kind: str = "double") -> DataFrame:
     def finish(key: tuple, state: ListState):
         return [(key[0], *row) for row in state.ordered()]
 
-    return ordered_fold(log, ["coll"], ListState, step, f"coll bigint, idx bigint, item bigint, val {kind}", finish)
+    kinds = dict(log.dtypes)
+    return ordered_fold(log, ["coll"], ListState, step, f"coll {kinds['coll']}, idx bigint, item {kinds['item']}, val {kinds['val']}", finish)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.functions.hashing import ROWS, SPAN, WIDTH, selector, signature
+from tidefold.functions.hashing import CAPACITY, ROWS, SPAN, WIDTH, num_shards_of, selector, signature
 
 
 def placed(df: DataFrame, key: Column) -> DataFrame:
@@ -52,6 +52,41 @@ def merge_plan(shards: DataFrame, level: float, capacity: int) -> DataFrame:
     return merged.groupBy("target").agg(F.sum("n").alias("n"), F.max("merged").alias("merged"))
 
 
+def merged_spans(counts: dict[tuple[int, int], int], level: float, expected: int = 0) -> dict[tuple[int, int], int]:
+    """The spans ``[start, end)`` and their keys after merging small buddies, until as few are left as the keys need.
+
+    Two spans merge if they are the halves of one dyadic span and each holds at
+    most ``level`` of a shard's capacity; lower halves come first, and a merged
+    span may merge again. Works on one number for each of at most 65,536 spans.
+    """
+    if not 0.0 < level < 0.5:
+        raise ValueError("the fill level must lie between 0 and 0.5")
+    most, spans = int(CAPACITY * level), dict(counts)
+    spare = len(spans) - num_shards_of(max(sum(spans.values()), expected))
+
+    def merge(start: int, end: int) -> bool:
+        """Whether [start, end) is, or has become, one span."""
+        nonlocal spare
+        if (start, end) in spans:
+            return True
+        middle = (start + end) // 2
+        if not any(start <= a and b <= end for a, b in spans) or end - start < 2:
+            return False
+        low, high = merge(start, middle), merge(middle, end)
+        if not (low and high) or spare <= 0:
+            return False
+        halves = (start, middle), (middle, end)
+        if any(spans[h] > most for h in halves):
+            return False
+        spans[start, end] = sum(spans.pop(h) for h in halves)
+        spare -= 1
+        return True
+
+    if spare > 0:
+        merge(0, SPAN)
+    return spans
+
+
 def consolidated(spans: DataFrame, group: str | None = None) -> DataFrame:
     """Spans ``[start, end)`` with ``covered``: whether an earlier or wider one contains them."""
     w = Window.partitionBy(*([group] if group else [])).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -36,17 +36,23 @@ def fifo_pops(log: DataFrame) -> DataFrame:
     return pops.join(pushes, (F.col("coll") == F.col("_c")) & (F.col("k") == F.col("_k")), "left").select("seq", "coll", "pushed", "val")
 
 
-def deque_pops(log: DataFrame, kind: str = "double") -> DataFrame:
+def _kinds(log: DataFrame) -> tuple[str, str]:
+    kinds = dict(log.dtypes)
+    return kinds["coll"], kinds["val"]
+
+
+def deque_pops(log: DataFrame) -> DataFrame:
     """``(seq, coll, op, idx, val)`` of each pop where both ends push and pop: the ordered fold."""
 
     def step(state: QueueState, row) -> tuple | None:
         out = state.apply(row.op, row.val)
         return (row.seq, row.coll, row.op, *out) if row.op.startswith("pop") else None
 
-    return ordered_fold(log, ["coll"], QueueState, step, f"seq bigint, coll bigint, op string, idx bigint, val {kind}")
+    coll, val = _kinds(log)
+    return ordered_fold(log, ["coll"], QueueState, step, f"seq bigint, coll {coll}, op string, idx bigint, val {val}")
 
 
-def deque_rest(log: DataFrame, kind: str = "double") -> DataFrame:
+def deque_rest(log: DataFrame) -> DataFrame:
     """``(coll, idx, val)`` of what is left at the end."""
 
     def step(state: QueueState, row) -> None:
@@ -55,7 +61,8 @@ def deque_rest(log: DataFrame, kind: str = "double") -> DataFrame:
     def finish(key: tuple, state: QueueState):
         return [(key[0], i, state.values[i]) for i in sorted(state.values)]
 
-    return ordered_fold(log, ["coll"], QueueState, step, f"coll bigint, idx bigint, val {kind}", finish)
+    coll, val = _kinds(log)
+    return ordered_fold(log, ["coll"], QueueState, step, f"coll {coll}, idx bigint, val {val}", finish)
 
 
 def extend(calls: DataFrame, values: str = "values") -> DataFrame:

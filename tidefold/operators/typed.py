@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.operators import lists, queues
+
 #: Type ids of built-in key types, with the Spark type that holds them.
 TYPE_IDS = {
     "u8": (1, "smallint"),
@@ -49,6 +51,73 @@ class TypedCollection:
         return wanted.join(self.select(table).select("key", "value"), "key", "left")
 
 
+@dataclass(frozen=True)
+class _TypedLog:
+    """A view of one key type in a log shared by several; ``coll`` is the encoded key, led by the type id."""
+
+    type_id: int
+
+    def key(self, *key: Column) -> Column:
+        return F.concat(F.lit(f"{self.type_id}:"), F.to_json(F.struct(*key)))
+
+    def own(self, log: DataFrame) -> DataFrame:
+        return log.where(F.col("coll").startswith(f"{self.type_id}:"))
+
+
+class TypedList(_TypedLog):
+    """Lists with struct keys and items: the list operators over ``(seq, op, coll, item, val)``."""
+
+    def log(self, df: DataFrame, seq: Column, op: Column, key: list[Column], item: list[Column], val: Column) -> DataFrame:
+        return df.select(seq.alias("seq"), op.alias("op"), self.key(*key).alias("coll"), F.to_json(F.struct(*item)).alias("item"), val.alias("val"))
+
+    def live(self, log: DataFrame) -> DataFrame:
+        return lists.items(self.own(log))
+
+    def get(self, log: DataFrame, wanted: DataFrame, key: list[Column], item: list[Column]) -> DataFrame:
+        asked = wanted.select(*wanted.columns, self.key(*key).alias("coll"), F.to_json(F.struct(*item)).alias("item"))
+        return asked.join(self.live(log).select("coll", "item", "val"), ["coll", "item"], "left").drop("coll", "item")
+
+    def contains(self, log: DataFrame, wanted: DataFrame, key: list[Column], item: list[Column]) -> DataFrame:
+        return self.get(log, wanted, key, item).where("val is not null").drop("val")
+
+    def iter(self, log: DataFrame) -> DataFrame:
+        return lists.ranked(self.live(log))
+
+    def iter_backwards(self, log: DataFrame) -> DataFrame:
+        return lists.from_tail(self.live(log))
+
+    def peek(self, log: DataFrame, end: str) -> DataFrame:
+        return lists.peek(self.live(log), end)
+
+    def pop(self, log: DataFrame, end: str, n: int = 1) -> tuple[DataFrame, DataFrame]:
+        return lists.pop(self.live(log), end, n)
+
+    def len(self, log: DataFrame) -> DataFrame:
+        return lists.lengths(self.live(log), self.own(log))
+
+    def discard(self, log: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+        return lists.discard(self.live(log), gone)
+
+
+class TypedDeque(_TypedLog):
+    """Double-ended queues with struct keys; pushes drop the index they get."""
+
+    def log(self, df: DataFrame, seq: Column, op: Column, key: list[Column], val: Column) -> DataFrame:
+        return df.select(seq.alias("seq"), op.alias("op"), self.key(*key).alias("coll"), val.alias("val"))
+
+    def pops(self, log: DataFrame) -> DataFrame:
+        return queues.deque_pops(self.own(log))
+
+    def iter(self, log: DataFrame) -> DataFrame:
+        return queues.deque_rest(self.own(log))
+
+    def peek(self, log: DataFrame, end: str) -> DataFrame:
+        return queues.peek(self.iter(log), end)
+
+    def range(self, log: DataFrame) -> DataFrame:
+        return queues.bounds(self.iter(log))
+
+
 def replaced(status: str = "status", prev: str = "prev") -> Column:
     """A typed replace gives the previous value, and null where nothing was replaced for either reason."""
     return F.when(F.col(status) == "PrevValue", F.col(prev))

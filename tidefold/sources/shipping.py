@@ -15,7 +15,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tidefold_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tidefold-")) / "tidefold.zip"
+    target = Path(tempfile.mkdtemp(prefix="tidefold-")).resolve() / "tidefold.zip"
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
