@@ -38,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/tidefold/{name}-{uuid.uuid4().hex}"
+    path = _qualified(spark, f"{shared_dir(spark)}/tidefold/{name}-{uuid.uuid4().hex}")
     atexit.register(remove_path, spark, path)
     return path
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store's name, so that readers outside Spark take the same store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone at exit
         jvm = spark.sparkContext._jvm
