@@ -92,20 +92,20 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, schedules: Seq
         n_words("text").alias("size"),
         order_key.alias("__r"),
         F.md5(or_empty("text")).alias("__tie"),
+        F.coalesce("source", F.lit("")).alias("__s"),
+        F.col("source").isNull().alias("__null"),
         F.substring(order_key, 1, 3).alias("__b"),
     )
-    buckets = sized.groupBy("source", "__b").agg(F.sum("size").alias("__n"))
-    per_source = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cell = ["__s", "__null", "__b"]  # no nulls, so that window and join take one and the same exchange
+    buckets = sized.groupBy(*cell).agg(F.sum("size").alias("__n"))
+    per_source = Window.partitionBy("__s", "__null").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(per_source), F.lit(0)))
-    targets = source_targets(
-        buckets.groupBy("source").agg(F.sum("__n").alias("source_size")), share, max_repeat, [weight(k) for k in schedules]
-    )
-    starts = buckets.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-    starts = starts.select(F.col("source").alias("__source"), F.col("__b").alias("__bucket"), "__before", "source_size", "target", F.col("class").alias("__class"))
-    inside = Window.partitionBy("source", "__b").orderBy("__r", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__bucket"))
-    )
+    sizes = buckets.groupBy("__s", "__null").agg(F.sum("__n").alias("source_size"))
+    targets = source_targets(sizes.select(F.when(~F.col("__null"), F.col("__s")).alias("source"), "source_size"), share, max_repeat, [weight(k) for k in schedules])
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__null"), "source_size", "target", F.col("class").alias("__class"))
+    starts = buckets.join(targets, ["__s", "__null"]).select(*cell, "__before", "source_size", "target", "__class")
+    inside = Window.partitionBy(*cell).orderBy("__r", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, cell)
     middle = [2 * (F.lit(j) * F.col("source_size") + F.col("__before") + F.col("__in")) + F.col("size") for j in range(max_repeat)]
     times = []
     for m in middle:
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, schedules: Seq
     return (
         placed.withColumn("positions", F.array_compact(F.array(*times)))
         .withColumn("taken", F.col("size") * F.size("positions"))
-        .drop("__r", "__tie", "__b", "__in", "__source", "__bucket", "__before", "__class")
+        .drop("__r", "__tie", "__s", "__null", "__b", "__in", "__before", "__class")
     )
 
 
