@@ -35,6 +35,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Cache(dict):
+    """Ids of units; a unit that is missing is encoded, so that a lookup never leaves the interpreter's own loop for known ones."""
+
+    def __init__(self, new):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.new(unit)
+
+
 class CachedEncoder:
     """Encodes texts to little-endian id arrays, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -56,8 +67,7 @@ class CachedEncoder:
         self.alphabet = {ord(c): "".join(table[b] for b in c.encode()) for c in letters}
         self.lead = "" if lower else " "
         self.pieces = _WORD_PIECES if lower else _BYTE_PIECES
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache, self.older = _Cache(self._new), {}
         self.closers = {c: self.whole(c) for c in _CLOSERS}
 
     def whole(self, text: str) -> bytes:
@@ -76,7 +86,7 @@ class CachedEncoder:
             out = self.piece(self.lead + unit)
         cache = self.cache
         if len(cache) >= CACHE_WORDS // 2:
-            self.older = cache.copy()
+            self.older = dict(cache)
             cache.clear()
         if len(unit) < 64:
             cache[unit] = out
@@ -96,12 +106,7 @@ class CachedEncoder:
         if (_ODD if self.lower else _RUNS).search(text):
             return self.whole(text)
         units = text.split(" ")
-        first = self.piece(units.pop(0))
-        found = list(map(self.cache.get, units))
-        if None in found:
-            get, new = self.cache.get, self._new
-            found = [x if x is not None else get(u) or new(u) for x, u in zip(found, units)]
-        return first + b"".join(found)
+        return self.piece(units.pop(0)) + b"".join(map(self.cache.__getitem__, units))
 
 
 #: Separators that Python or the patterns may class differently, and marks that compose with a character before them.
