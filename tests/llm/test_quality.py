@@ -51,3 +51,20 @@ def test_verdict(spark):
     rows = quality.assess(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
     good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.15 * len(bad)
+
+
+def test_a_small_language_has_its_own_reference(spark):
+    """The clean documents of a language with less than LANGUAGE_SHARE of the words stay, its noise goes."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    clean = docs.join(labels, "doc_id").where("lang = 'de' and quality = 1 and length(text) between 300 and 900").select("doc_id", "text", "lang").orderBy("doc_id").limit(8)
+    noise = spark.createDataFrame([(-1, " ".join(f"{i * 7919 % 9973}|{i}" for i in range(60)), "de")], "doc_id bigint, text string, lang string")
+    rare = clean.unionByName(noise)
+    mix = docs.where("lang <> 'de'").select("doc_id", "text", "lang").unionByName(rare)
+    assert {r["lang"] for r in quality.references(mix)} == {"en", "es", "fr"}
+    ids = [r.doc_id for r in clean.collect()]
+    rows = {r.doc_id: r for r in quality.assess(mix).collect()}
+    assert len(rows) == mix.count() and len(ids) >= 5
+    assert all(rows[i].kept or rows[i].base_failed for i in ids) and any(rows[i].kept for i in ids)
+    assert not rows[-1].kept and not rows[-1].base_failed

@@ -1,15 +1,18 @@
 """Quality rules by divergence from language references.
 
-A reference is, for a language (the lang column's values with at least
-``LANGUAGE_SHARE`` of all words), the distribution over character classes and
-over its common words, both counted over all documents. Words are counted in
+A reference is, for a language (a value of the lang column), the distribution
+over character classes and over its common words, both counted over all
+documents. Words are counted in
 2**14 hash buckets, which makes the counts additive and bounded; buckets with
 at least ``COMMON_SHARE`` of a language's words are its common words, all
 others one rest class.
 
-A document is compared with every reference by the Jensen-Shannon distance
-(square root of the divergence to base 2). It is rejected if even the nearest
-reference is farther than the threshold in characters or in words. Guards: the
+A document is compared with the references of its own language, however small,
+and of every large one (at least ``LANGUAGE_SHARE`` of all words) by the
+Jensen-Shannon distance (square root of the divergence to base 2). It is
+rejected if even the nearest of them is farther than the threshold in
+characters or in words. The large languages' references go to every task; those
+of the others are joined to their documents by lang. Guards: the
 character rule asks for ``MIN_CHARS`` characters, the word rule for
 ``MIN_WORDS`` words, and both thresholds are widened by what sampling alone
 gives in a short text.
@@ -113,26 +116,44 @@ def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, ["lang", "kind", "bin", "n"])
 
 
-def references(docs: DataFrame) -> list[dict]:
-    """At most 1 / LANGUAGE_SHARE references of at most 1 / COMMON_SHARE common words."""
+def _reference(lang: str | None, chars: list[tuple[int, int]], common: list[tuple[int, int]], words: int) -> dict:
+    """From (bin, n) of the character classes and of the common words."""
+    classes = np.zeros(CLASSES)
+    for b, n in chars:
+        classes[b] = n
+    common = sorted(common)
+    share = np.array([n for _, n in common]) / words
+    return {"lang": lang, "chars": classes / classes.sum(), "bins": np.array([b for b, _ in common], np.int64), "words": np.append(share, 1 - share.sum())}
+
+
+def language_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts that references need, ``(lang, kind, bin, n, words)``, and ``(lang, words, large)`` of each language with words."""
     counted = docs.select(F.col("lang").cast("string"), or_empty("text").alias("text")).mapInArrow(_corpus, "lang string, kind int, bin int, n bigint")
     summed = written(counted.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")), "language-counts")
     words = summed.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("words"))
     total = words.agg(F.sum("words")).first()[0] or 0
-    words = words.where(F.col("words") >= max(1, LANGUAGE_SHARE * total))  # at most 1 / LANGUAGE_SHARE rows
-    large = {r["lang"]: r["words"] for r in words.collect()}
-    sized = summed.join(F.broadcast(words.withColumnRenamed("lang", "__l")), F.col("lang").eqNullSafe(F.col("__l")))
-    rows = sized.where((F.col("kind") == 0) | (F.col("n") >= COMMON_SHARE * F.col("words"))).select("lang", "kind", "bin", "n").collect()
-    out = []
-    for lang in sorted(large, key=lambda x: (x is None, x or "")):
-        chars = np.zeros(CLASSES)
-        common = sorted((r["bin"], r["n"]) for r in rows if r["lang"] == lang and r["kind"] == 1)
-        for r in rows:
-            if r["lang"] == lang and r["kind"] == 0:
-                chars[r["bin"]] = r["n"]
-        share = np.array([n for _, n in common]) / large[lang]
-        out.append({"lang": lang, "chars": chars / chars.sum(), "bins": np.array([b for b, _ in common], np.int64), "words": np.append(share, 1 - share.sum())})
-    return out
+    words = words.withColumn("large", F.col("words") >= max(1, LANGUAGE_SHARE * total))
+    sized = summed.join(words.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l")))
+    return sized.where((F.col("kind") == 0) | (F.col("n") >= COMMON_SHARE * F.col("words"))).drop("__l"), words
+
+
+def _large(counts: DataFrame) -> list[dict]:
+    rows = counts.where("large").collect()
+    of = lambda lang, kind: [(r["bin"], r["n"]) for r in rows if r["lang"] == lang and r["kind"] == kind]
+    words = {r["lang"]: r["words"] for r in rows}
+    return [_reference(lang, of(lang, 0), of(lang, 1), words[lang]) for lang in sorted(words, key=lambda x: (x is None, x or ""))]
+
+
+def references(docs: DataFrame) -> list[dict]:
+    """Of the large languages: at most 1 / LANGUAGE_SHARE references of at most 1 / COMMON_SHARE common words."""
+    return _large(language_counts(docs)[0])
+
+
+def small_references(counts: DataFrame) -> DataFrame:
+    """``(__l, own)``: a row for each language that is not large, with what its reference is made of."""
+    pairs = [F.collect_list(F.when(F.col("kind") == k, F.struct("bin", "n"))).alias(name) for k, name in enumerate(("chars", "common"))]
+    rows = counts.where("not large").groupBy(F.col("lang").alias("__l")).agg(*pairs, F.first("words").alias("words"))
+    return rows.select("__l", F.struct("chars", "common", "words").alias("own"))
 
 
 def distances(refs: list[dict], chars: np.ndarray, w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +175,15 @@ def distances(refs: list[dict], chars: np.ndarray, w: np.ndarray, doc: np.ndarra
 
 def assess(docs: DataFrame) -> DataFrame:
     """The counts, distances and verdict of each document."""
-    refs = references(docs)
+    counts, words = language_counts(docs)
+    refs = _large(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RESULT.split(", ")]
+        held: dict[str | None, dict] = {}  # the last language's reference; rows of one language mostly come together
         for whole in batches:
             texts = whole["text"].to_pylist()
+            langs = whole["lang"].to_pylist() if "own" in whole.schema.names else []
             for first, part in in_slices(texts):
                 chars = class_counts(part)
                 w, doc = word_hashes(part)
@@ -169,10 +193,34 @@ def assess(docs: DataFrame) -> DataFrame:
                 lines = np.array([duplicate_lines(t) for t in texts[first : first + len(part)]], np.int64)
                 failed = (n < 10) | (100 * repeats > 20 * n)
                 c, d = distances(refs, chars, w, doc)
+                judged = np.full(len(part), bool(refs))
+                of: dict[str | None, list[int]] = {}
+                for i, lang in enumerate(langs[first : first + len(part)]):
+                    of.setdefault(lang, []).append(i)
+                for lang, rows in of.items():
+                    own = whole["own"][first + rows[0]]
+                    if not own.is_valid:
+                        continue  # no document of the language has a word
+                    if lang not in held:
+                        x = own.as_py()
+                        held = {lang: _reference(lang, *([(r["bin"], r["n"]) for r in x[k]] for k in ("chars", "common")), x["words"])}
+                    at = np.full(len(part), -1)
+                    at[rows] = np.arange(len(rows))
+                    its = at[doc] >= 0
+                    near_c, near_w = distances([held[lang]], chars[rows], w[its], at[doc[its]])
+                    c[rows], d[rows], judged[rows] = np.minimum(c[rows], near_c), np.minimum(d[rows], near_w), True
                 noise = 0.6 / np.sqrt(np.maximum(1, n))
                 far = (c > CHAR_LIMIT + 0.5 / np.sqrt(np.maximum(1, chars.sum(axis=1)))) & (chars.sum(axis=1) >= MIN_CHARS) | (d > WORD_LIMIT + noise) & (n >= MIN_WORDS)
-                kept = ~failed & ~(far & bool(refs))
+                kept = ~failed & ~(far & judged)
                 columns = [whole["doc_id"].slice(first, len(part)), n, letters, chars[:, 6], lines, repeats, failed, c, d, kept]
                 yield pa.record_batch([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names)
 
-    return docs.select("doc_id", or_empty("text").alias("text")).mapInArrow(run, RESULT)
+    texts = docs.select("doc_id", or_empty("text").alias("text"), F.col("lang").cast("string").alias("lang"))
+    if words.where("not large").isEmpty():
+        return texts.drop("lang").mapInArrow(run, RESULT)
+    large = F.lit(False)
+    for ref in refs:
+        large |= F.col("lang").eqNullSafe(F.lit(ref["lang"]))
+    small = written(small_references(counts), "small-references")  # its size decides between broadcast and shuffle
+    joined = texts.where(~large).join(small, F.col("lang").eqNullSafe(F.col("__l")), "left").select("doc_id", "text", "lang", "own")
+    return texts.where(large).drop("lang").mapInArrow(run, RESULT).unionByName(joined.mapInArrow(run, RESULT))
