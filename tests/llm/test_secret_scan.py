@@ -66,6 +66,28 @@ def test_contexts():
     assert s.guess_cost("Zq7" * 5000 + "x9" * 5000) > 0  # linear in the length
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("password: Summer2024!xK9#qZ$8w", ["Summer2024!xK9#qZ$8w"]),
+        ("x password=monkey$7xQ#9vLp2& y", ["monkey$7xQ#9vLp2&"]),
+        ("dbpassword=Summer2024!xK9#qZ$8w, then", ["Summer2024!xK9#qZ$8w"]),
+        ("token=tR7uWq0Zx3Lm$7x.", ["tR7uWq0Zx3Lm$7x"]),  # the guess span ended too early
+        ('{"password":"summer1","user":"bob","x":"y"}', []),  # nothing beyond the closing quote
+        ('login: {"password":"summer1"}', []),
+        (r'password="monkey\"$7xQ#9vLp2" x="1"', [r'monkey\"$7xQ#9vLp2']),
+        ("password=tR7uWq0Zx3Lm&token=24be64439e3e", ["tR7uWq0Zx3Lm&", "24be64439e3e"]),
+        ("login: xK9#mQ2$vL5;password=monkey", ["xK9#mQ2$vL5"]),
+        ("password=abc!xK9#mQ2$vL5", ["abc!xK9#mQ2$vL5"]),
+        ("password=changeme!, secret: monkey!!", []),
+    ],
+)
+def test_whole_values_are_scored(text, values):
+    base, every = s.scan_text(text)
+    assert base == brute_base(text)
+    assert [text[a:b] for a, k, b in every if k == 3] == values
+
+
 @pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
 def test_query_columns(request, which):
     df = request.getfixturevalue(which)

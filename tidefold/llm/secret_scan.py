@@ -2,12 +2,14 @@
 
 The base finds assignments, access keys and hex runs. The method looks at the
 values after words that announce a credential (the assigned values of the base
-among them) and computes the least cost of guessing them: a value is cut into
-dictionary words (also with common substitutions), dates, repeats, keyboard
-walks and brute-force spans, each with its number of guesses, and dynamic
-programming over the cut points finds the least sum of logarithms. A value
-that takes at least ``10 ** GUESSES`` guesses is a secret; its span has kind
-``guess``. Cost and memory grow linearly with a value's length.
+among them, but whole: to the closing quote, the next blank or the next
+assignment, where the base's letters may end sooner) and computes the least
+cost of guessing them: a value is cut into dictionary words (also with common
+substitutions), dates, repeats, keyboard walks and brute-force spans, each with
+its number of guesses, and dynamic programming over the cut points finds the
+least sum of logarithms. A value that takes at least ``10 ** GUESSES`` guesses
+is a secret; its span has kind ``guess``. Cost and memory grow linearly with a
+value's length.
 
 Defined cases: null text counts as empty; repeated rows are scanned each; an
 empty table gives an empty result; other columns are left out.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +40,9 @@ _CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|credentials?|login|auth)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["'`]?([!-~]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
+_RUN = re.compile(r"[!-~]*")
+#: What may follow a value.
+_AFTER = "\"'`,;.)!?"
 _MAYBE = ("pass", "pwd", "secret", "token", "key", "credential", "login", "auth")
 
 #: Common passwords and words in them, commonest first; a word's place is its number of guesses.
@@ -129,19 +135,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _value_end(text: str, start: int, end: int, stop: int) -> int:
+    """The end of an assigned value whose first characters, to ``end``, the base has matched."""
+    far, quote = _RUN.match(text, start, stop).end(), text[start - 1]
+    if quote in "\"'":
+        close = text.find(quote, end, far)
+        while close > 0 and text[close - 1] == "\\":
+            close = text.find(quote, close + 1, far)
+        if close >= 0:
+            return close
+    while far > end and text[far - 1] in _AFTER:
+        far -= 1
+    return far
+
+
 def guessed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in a credential context that are hard to guess."""
     low = text.lower()
     if not any(k in low for k in _MAYBE):
         return []
-    values = {m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6}
+    assigned = [m for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    stops = [m.start() for m in assigned] + [len(text)]
+    values = [(m.start(2), _value_end(text, *m.span(2), stop)) for m, stop in zip(assigned, stops[1:])]
+    starts, found = [a for a, _ in values], []
     for m in _CONTEXT.finditer(text):
         start, end = m.span(1)
-        while end > start and text[end - 1] in "\"'`,;.)!?":
+        i = bisect_right(starts, start)
+        if i and start < values[i - 1][1]:
+            continue  # inside an assigned value
+        end = min(end, max(start, stops[i]))
+        while end > start and text[end - 1] in _AFTER:
             end -= 1
-        if end - start >= 6 and not any(a < end and start < b for a, b in values):
-            values.add((start, end))
-    return [(a, 3, b) for a, b in sorted(values) if guess_cost(text[a:b]) >= GUESSES]
+        if end - start >= 6:
+            found.append((start, end))
+    return [(a, 3, b) for a, b in sorted(values + found) if guess_cost(text[a:b]) >= GUESSES]
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
