@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidefold.llm import packing, rans, token_files
 from tidefold.llm.tokens import CachedEncoder, encoder
@@ -22,6 +23,16 @@ def test_equals_the_library(name, documents):
         assert e.encode(text) == e.whole(text), text[:80]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_are_the_librarys(name):
+    e, fresh = encoder(name, NAMES[name]), Tokenizer.from_file(public_tokenizers.path(name))
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|startoftext|> a <|endoftext|>, b.", "<|ENDOFTEXT|> a", "<|endoftext| > a", "a b <|endoftext|><|endoftext|>"]
+    for text in ODD + odd:
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    end = fresh.token_to_id("<|endoftext|>")
+    assert end in np.frombuffer(e.encode("a <|endoftext|> b"), "<u2")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'aAéßİ1_~ſ\xa0\x85\x1c"), st.characters(codec="utf-8")), max_size=40))
 def test_equals_the_library_on_any_text(text):
