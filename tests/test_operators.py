@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.hashing import num_shards_of, siphash128
 from tidefold.operators import bigval, kv, lists, partition, queues, stats, typed
 from tidefold.plans.transitions import ListState, MapState, QueueState
+from tidefold.queries import registered
 from tidefold.sources.store import Config, Store
 from tidefold.sources.workspace import fresh
 from tidefold.streaming import processor
@@ -189,3 +190,9 @@ def test_typed_lists_and_deques(spark):
     log = deque.log(pushes, F.col("s"), F.col("o"), [F.col("k")], F.col("v"))
     assert [r.val for r in deque.iter(log).orderBy("idx").collect()] == [103.0, 100.0] and deque.pops(log).first()["val"] == 101.0
     assert tuple(deque.range(log).first())[1:] == (-1, 1, 2) and deque.peek(log, "head").first()["val"] == 103.0
+
+
+def test_merge_plan_of_the_whole_table(spark, sf_dir):
+    plan = registered["shard_merge_plan_whole"](spark, sf_dir).collect()
+    assert sum(r.n for r in plan) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert {r.merged for r in plan} == {True, False}

@@ -112,6 +112,17 @@ def shard_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.merge_plan(sizes, 0.3, 300)
 
 
+@query(
+    f"""with s as (select {ROUTE} // 1024 as shard, count(*) as n from orders group by 1),
+p as (select *, max(n) over (partition by shard // 2) <= (select count(*) from orders) // 64 and count(*) over (partition by shard // 2) = 2 as m from s)
+select (case when m then shard // 2 * 2 else shard end)::int as target, sum(n)::bigint as n, bool_or(m) as merged from p group by 1"""
+)
+def shard_merge_plan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders; buddies merge that both hold at most the mean of the 64 shards, a quarter of the capacity taken here."""
+    orders = table(spark, sf_dir, "orders")
+    return partition.merge_plan(partition.routed(orders, order_key(), 64), 0.25, 4 * (orders.count() // 64))
+
+
 SPANS = [(16, 32), (0, 16), (0, 32), (48, 64), (32, 48), (50, 60)]
 
 
