@@ -4,8 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``.
 
-Order inside a stage's table carries no meaning: packing takes the documents
-as the scan of the mixed table deals them.
+Order inside a stage's table carries no meaning, but for the mixed one: its
+files and rows are in order of training time, and packing keeps that order.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    """The pieces of the packed sequences, in the order of the mixed table's files and rows."""
+    return packing.pack(docs, stored=True)
 
 
 STAGES = [

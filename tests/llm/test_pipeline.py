@@ -1,7 +1,9 @@
+from itertools import accumulate
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tidefold.llm import ngram_join
+from tidefold.llm import mixing, ngram_join
 
 
 def test_stages(spark, sf_dir, documents):
@@ -31,3 +33,23 @@ def test_whole_run_and_edge_cases(spark, sf_dir, edge, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() > 0 or docs.columns
+
+
+def test_packing_keeps_the_order_of_training(spark, sf_dir, documents, tmp_path):
+    """However the scan deals the mixed table's files: many of them, the last the largest, cut at 64 kB."""
+    order = [r.doc_id for r in documents.orderBy(F.length("text"), "doc_id").collect()]
+    docs = documents.repartitionByRange(6, F.length("text"), "doc_id").sortWithinPartitions(F.length("text"), "doc_id")
+    docs.write.option("parquet.block.size", 32_768).parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), sf_dir).orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.doc_id for r in rows if r.start == 0] == order
+    assert all(r.sequence_id * 1024 + r.offset == sum_ for r, sum_ in zip(rows, [0, *accumulate(x.length for x in rows)]))
+
+
+def test_mixing_writes_in_order_of_training(spark, sf_dir, documents, tmp_path):
+    corpus_pipeline.mix_sources(spark, documents, sf_dir).write.parquet(str(tmp_path / "mixed"))
+    rows = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), sf_dir).orderBy("sequence_id", "offset").collect()
+    assert [r.doc_id for r in rows if r.start == 0] == [r.doc_id for r in mixing.curriculum(documents).orderBy("position", "doc_id", "copy").collect()]
