@@ -99,7 +99,8 @@ def near_copies(n, words, seed, changes):
 
 def test_against_all_pairs(spark, documents, monkeypatch):
     """A large group over several blocks, smaller ones, copies, and real documents."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "LEAST", 16)
+    monkeypatch.setattr(ngram_join, "SLAB", 7)
     texts = near_copies(90, 120, 1, 6) + near_copies(25, 60, 2, 4) + near_copies(12, 9, 3, 2) + ["short text", "short text", "a b c d", "", None, " "]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + r.doc_id, r.text) for r in documents.collect()]
     got = joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
@@ -107,6 +108,47 @@ def test_against_all_pairs(spark, documents, monkeypatch):
     assert sum(r[2] for r in got) > 500
 
 
+def test_rows_of_a_large_group_grow_in_proportion(spark, monkeypatch):
+    """Twice as many near copies make about twice as many tile rows, counts and edges."""
+    write, seen = ngram_join.written, {}
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    made = []
+    for n in (1100, 2200):
+        seen.clear()
+        classes, links = ngram_join.similar(spark.createDataFrame(list(enumerate(near_copies(n, 300, 5, 4))), "doc_id bigint, text string"))
+        assert links.agg({"n_links": "sum"}).first()[0] > n * n / 3
+        found, different = seen["links"], classes.count()
+        made.append((different, ngram_join.tiles(seen["payload"]).count(), found.where("links is not null").count(), found.where("v is not null").count()))
+    assert all(x <= ngram_join.SIDE * made[0][0] for x in made[0])
+    assert all(1.6 < y / x < 2.4 for x, y in zip(*made))
+
+
+def test_limits_of_a_block(spark, documents, monkeypatch):
+    """The same result where texts and shingles of a block are few, and where a text is long."""
+    texts = near_copies(40, 60, 3, 3) + near_copies(6, 3000, 4, 100)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name, value in (("BLOCK_TEXTS", 5), ("BLOCK_SHINGLES", 2000), ("HEAVY", 100)):
+        monkeypatch.setattr(ngram_join, name, value)
+        assert joined(docs) == brute(rows)
+
+
+def test_long_texts_by_parts(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a", "bc", " ", "\n", "é", "d" * 50]) for _ in range(5000)).encode()
+    whole = shingles.word_hashes([text])[0]
+    monkeypatch.setattr(shingles, "PART", 64)
+    assert np.array_equal(shingles.word_hashes([text])[0], whole)
+    assert np.array_equal(shingles.word_hashes([b"x" * 1000])[0], shingles._word_hashes([b"x" * 1000])[0])
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["row", "own", "th", "rep", "__own", "__rep", "__th", "id", "first", "label"]
+    docs = spark.createDataFrame([(1, "a b c d e f g", *names), (2, "a b c d e f g", *names), (None, None, *names)], ["doc_id", "text", *names])
+    assert sorted((r.doc_id or 0, *r[2:]) for r in ngram_join.drop_similar(docs).collect()) == [(0, *names), (1, *names)]
+    assert ngram_join.join_similar(docs).count() == 3
+
+
 def test_shuffled_join_gives_the_same(documents, monkeypatch):
     expected = joined(documents)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)

@@ -81,3 +81,11 @@ def columns_but(df: DataFrame, *names: str) -> list[Column]:
     """The columns of ``df`` without those of these names (any case)."""
     gone = {n.lower() for n in names}
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+
+
+def unused_prefix(df: DataFrame) -> str:
+    """Underscores that no column's name begins with, for columns of an operator's own beside those of ``df``."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -5,24 +5,31 @@
    of similarity 0.8 miss all common buckets with probability 2e-5.
 3. Classes that share a bucket are joined to the bucket's least class (a star,
    linear in its members), which gives components of candidates.
-4. Inside a component, in blocks of at most ``BLOCK`` classes against each
-   other, MinHash values are compared 24 at a time. With a uniform prior the
-   chance that a pair reaches the threshold after m of n agreements is
-   P(Binomial(n + 1, t) <= m); a pair falls out as soon as that is below
+4. Inside a component MinHash values are compared 24 at a time. With a uniform
+   prior the chance that a pair reaches the threshold after m of n agreements
+   is P(Binomial(n + 1, t) <= m); a pair falls out as soon as that is below
    ``TOLERANCE``. What is left is counted exactly on the shingle sets.
 5. The verified links give a count for each class and, as spanning edges, the
-   groups. Pairs are never rows: a task emits counts and at most one edge for
-   each class, so output is linear also where a group of copies is large.
+   groups.
 
 Skew: bucket minima, class sizes and labels are aggregated before they are
-shuffled; a large component is split into block pairs. The only broadcast is
-the list of candidate classes, after its count is known to be at most
-``BROADCAST_ROWS``; beyond that the same join is shuffled.
+shuffled. A large component is cut into ``SIDE`` blocks, and each pair of
+blocks is a tile of its own. Pairs are never rows: a tile takes each class of
+its two blocks once and emits one count and at most one edge for each of them,
+so a component of n classes makes at most ``SIDE`` n rows of each kind. Only
+what a task can hold asks for more blocks than that: beyond ``SIDE *
+BLOCK_TEXTS`` classes (or as many shingles) rows grow by one more for each
+class with every ``BLOCK_TEXTS`` classes more, beside n^2 / 2 comparisons.
+A single very long text does not cut its component finer.
+
+The only broadcast is the list of candidate classes, after its count is known
+to be at most ``BROADCAST_ROWS``; beyond that the same join is shuffled.
 
 Defined cases: null text counts as empty; texts without words are linked to
 equal texts only; a text of 1 to 4 words has one shingle; repeated rows are
-documents of their own; an empty table gives an empty result; other columns
-are left out of the join's result.
+documents of their own; an empty table gives an empty result; other columns,
+whatever their names, are left out of the join's result and pass through
+``drop_similar``.
 """
 
 from __future__ import annotations
@@ -36,11 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import columns_but, or_empty, written
+from tidefold.llm.common import columns_but, or_empty, unused_prefix, written
 from tidefold.llm.components import components
 from tidefold.llm.shingles import HASHES, in_slices, mixed, shingles, signatures
 
-BANDS, STEP, TOLERANCE, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 36, 24, 1e-7, 128, 1 << 20, 100_000
+BANDS, STEP, TOLERANCE, BROADCAST_ROWS = 36, 24, 1e-7, 100_000
+#: A component of more than LEAST classes is cut into blocks, SIDE of them if it is large; a block holds at most so
+#: many texts and shingles, of which a text counts with HEAVY at most. Inside a tile SLAB texts meet SLAB at a time.
+LEAST, SIDE, BLOCK_TEXTS, BLOCK_SHINGLES, HEAVY, SLAB = 128, 8, 8192, 1 << 20, 1 << 17, 256
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,42 +142,56 @@ def linked(sig_a, sig_b, sets_a, sets_b, same: bool, threshold: float = 0.8, tol
     return pairs[(common > 0) & (common >= threshold * union - 1e-9)]
 
 
+class _Groups:
+    """Least labels of the numbers below n, joined by pairs."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            under = np.arange(len(self.root))
+            np.minimum.at(under, np.maximum(a, b), np.minimum(a, b))
+            while (under[under] != under).any():
+                under = under[under]
+            self.root = under[self.root]
+
+
+def _tile(rows: dict[int, tuple[int, bytes, bytes]], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, links of each inside the tile, least id linked to it) from id -> (block, sig, sh)."""
+    ids = sorted(rows)
+    groups, count = _Groups(len(ids)), np.zeros(len(ids), np.int64)
+    sides = [[k for k, x in enumerate(ids) if rows[x][0] == block] for block in (low, high)]
+
+    def taken(part: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return np.array(part), np.stack([np.frombuffer(rows[ids[k]][1], np.uint8) for k in part]), [np.frombuffer(rows[ids[k]][2], np.uint64) for k in part]
+
+    slabs = [[side[at : at + SLAB] for at in range(0, len(side), SLAB)] for side in sides]
+    for p, left in enumerate(slabs[0]):
+        a, sig_a, sets_a = taken(left)
+        for right in slabs[1][p if low == high else 0 :]:
+            b, sig_b, sets_b = taken(right)
+            pairs = linked(sig_a, sig_b, sets_a, sets_b, left == right)
+            i, j = a[pairs[:, 0]], b[pairs[:, 1]]
+            count += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            groups.join(i, j)
+    every = np.array(ids, np.int64)
+    return every, count, every[groups.root]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, links) from rows sorted by (comp, low, high): counts have no v, edges no links."""
-    u: list[int] = []
-    v: list[int | None] = []
-    links: list[int | None] = []
-
-    def settle(key: tuple, rows: dict[int, tuple]) -> None:
-        low, high = key[1:]
-        ids_a = [x for x, r in rows.items() if r[0] == low]
-        ids_b = ids_a if low == high else [x for x, r in rows.items() if r[0] == high]
-        if not ids_a or not ids_b or len(rows) < 2:
-            return
-        sigs = [np.stack([np.frombuffer(rows[x][1], np.uint8) for x in ids]) for ids in (ids_a, ids_b)]
-        sets = [[np.frombuffer(rows[x][2], np.uint64) for x in ids] for ids in (ids_a, ids_b)]
-        count: dict[int, int] = {}
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in linked(*sigs, *sets, low == high).tolist():
-            a, b = ids_a[i], ids_b[j]
-            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
-            ra, rb = find(a), find(b)
-            root[max(ra, rb)] = min(ra, rb)
-        for x, n in count.items():
-            u.append(x), v.append(None), links.append(n)
-            if (r := find(x)) != x:
-                u.append(x), v.append(r), links.append(None)
-
-    def out() -> pa.RecordBatch:
-        batch = pa.record_batch([pa.array(c, pa.int64()) for c in (u, v, links)], ["u", "v", "links"])
-        u.clear(), v.clear(), links.clear()
-        return batch
+
+    def settled(key: tuple, rows: dict) -> pa.RecordBatch:
+        ids, count, least = _tile(rows, *key[1:])
+        some, edge = count > 0, ids != least
+        u, v = np.concatenate([ids[some], ids[edge]]), np.concatenate([np.zeros(some.sum(), np.int64), least[edge]])
+        links = np.concatenate([count[some], np.zeros(edge.sum(), np.int64)])
+        counts = np.arange(len(u)) < some.sum()
+        return pa.record_batch([pa.array(u), pa.array(v, mask=counts), pa.array(links, mask=~counts)], ["u", "v", "links"])
 
     key, rows = None, {}
     for batch in batches:
@@ -175,13 +199,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for comp, low, high, block, own, sig, sh in zip(*columns):
             if (comp, low, high) != key:
                 if key:
-                    settle(key, rows)
+                    yield settled(key, rows)
                 key, rows = (comp, low, high), {}
             rows[own] = (block, sig, sh)  # a row repeated whole counts once
-        yield out()
     if key:
-        settle(key, rows)
-    yield out()
+        yield settled(key, rows)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -191,6 +213,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     return written(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
+def tiles(payload: DataFrame) -> DataFrame:
+    """A row of ``payload(comp, id, sig, sh, n)`` for each tile ``(comp, low, high)`` that its class takes part in."""
+    texts, wide = F.count("*"), F.least(F.col("n"), F.lit(HEAVY))
+    blocks = F.greatest(F.least(texts / LEAST, F.lit(SIDE)), texts / BLOCK_TEXTS, F.sum(wide) / BLOCK_SHINGLES)
+    comps = payload.groupBy("comp").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    dealt = payload.drop("n").join(comps, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "sh")
+
+
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links): ``links(id, n_links, label)`` for classes with a link to another text."""
     spark = docs.sparkSession
@@ -207,12 +239,9 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", or_empty("text").alias("text")).withColumn("th", F.unhex(F.md5("text")))
     texts = texts.join(wanted, (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__rep"))).select("comp", "id", "text")
     payload = written(texts.mapInArrow(_payload, "comp bigint, id bigint, sig binary, sh binary, n bigint"), "payload")
-    comps = payload.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = payload.drop("n").join(comps, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "sh")
+    dealt = tiles(payload)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges hold about as many rows each, however many block pairs a large component has
+    # ranges hold about as many rows each, however many tiles a large component has
     ordered = dealt.repartitionByRange(parts, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     found = written(ordered.mapInArrow(_verify, "u bigint, v bigint, links bigint"), "links")
     counts = found.where("links is not null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("n_links"))
@@ -236,6 +265,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     group joined by links), ``n_links`` (other texts at 0.8 or more),
     ``text_id`` (least doc_id with the same text), ``n_copies`` (documents with it).
     """
+    docs = docs.select("doc_id", "text")
     known = _grouped(docs).withColumnRenamed("th", "__th")
     own = docs.select("doc_id", F.unhex(F.md5(or_empty("text"))).alias("th"))
     out = own.join(known, own["th"] == known["__th"])
@@ -244,7 +274,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the least doc_id."""
-    stay = _grouped(docs).where("th = group_th").select(F.col("th").alias("__th"), F.col("rep").alias("__rep"))
-    own = docs.withColumn("__own", F.unhex(F.md5(or_empty("text"))))
-    kept = own.join(stay, (F.col("__own") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
-    return kept.dropDuplicates(["__own", "__rep"]).select(*columns_but(docs))
+    p = unused_prefix(docs)
+    own, th, rep = f"{p}own", f"{p}th", f"{p}rep"
+    stay = _grouped(docs.select("doc_id", "text")).where("th = group_th").select(F.col("th").alias(th), F.col("rep").alias(rep))
+    rows = docs.withColumn(own, F.unhex(F.md5(or_empty("text"))))
+    kept = rows.join(stay, (F.col(own) == F.col(th)) & F.col("doc_id").eqNullSafe(F.col(rep)))
+    return kept.dropDuplicates([own, rep]).select(*columns_but(docs))

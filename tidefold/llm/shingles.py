@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-WORDS, HASHES = 5, 216
+WORDS, HASHES, PART = 5, 216, 1 << 22
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,8 +38,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """Runs of about ``size`` bytes, cut before white space."""
+    data, at = np.frombuffer(text, np.uint8), 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and not len(cut := np.flatnonzero(_SPACE[data[end : end + size]])):
+            end += size
+        end = min(len(text), end + int(cut[0])) if end < len(text) else len(text)
+        yield text[at:end]
+        at = end
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, its text's place). A word is a run of bytes other than blank and 09 to 0D."""
+    """(64-bit hash of every word, its text's place). A word is a run of bytes other than blank and 09 to 0D.
+
+    A very long text (alone, from ``in_slices``) is taken part by part.
+    """
+    if len(texts) == 1 and len(texts[0]) > PART:
+        w = np.concatenate([_word_hashes([part])[0] for part in _parts(texts[0], PART)])
+        return w, np.zeros(len(w), np.int64)
+    return _word_hashes(texts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[data]
     before = np.concatenate([[True], space[:-1]])
