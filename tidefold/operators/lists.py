@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.operators.kv import existence, replay
-from tidefold.plans.fold import ordered_fold
+from tidefold.plans.fold import by_heat, ordered_fold, ranked_by, running
 from tidefold.plans.transitions import ListState
 
 
@@ -24,12 +24,12 @@ def items(log: DataFrame, chunk: int | None = None) -> DataFrame:
 
 def ranked(live: DataFrame, order: str = "born") -> DataFrame:
     """Live items with ``pos``, their rank from the head from 0 on."""
-    return live.withColumn("pos", F.row_number().over(Window.partitionBy("coll").orderBy(order)) - 1)
+    return ranked_by(live, "pos", ["coll"], order)
 
 
 def from_tail(live: DataFrame, order: str = "born") -> DataFrame:
     """Live items with ``pos`` counted from the tail."""
-    return live.withColumn("pos", F.row_number().over(Window.partitionBy("coll").orderBy(F.col(order).desc())) - 1)
+    return ranked_by(live.withColumn("_back", -F.col(order)), "pos", ["coll"], "_back").drop("_back")
 
 
 def peek(live: DataFrame, end: str, order: str = "born") -> DataFrame:
@@ -59,11 +59,15 @@ def span_and_holes(indexed: DataFrame) -> DataFrame:
 
 def compacted(indexed: DataFrame, min_length: int = 100, min_holes_ratio: float = 0.25) -> DataFrame:
     """Live items with ``new_idx``: consecutive from the old tail on in lists that are long and holey enough."""
-    per_list = Window.partitionBy("coll")
-    head, tail, n = F.min("idx").over(per_list), F.max("idx").over(per_list) + 1, F.count("*").over(per_list)
-    due = (tail - head >= min_length) & (tail - head - n >= (tail - head) * F.lit(min_holes_ratio))
-    rank = F.row_number().over(per_list.orderBy("idx")) - 1
-    return indexed.withColumn("new_idx", F.when(due, tail + rank).otherwise(F.col("idx")))
+
+    def moved(part: DataFrame, chunk: int | None) -> DataFrame:
+        part = running(part, "_rank", F.lit(1), ["coll"], "idx", "sum", chunk=chunk)
+        sums = span_and_holes(indexed).select(F.col("coll").alias("_k_coll"), "tail", "span", "holes")
+        due = (F.col("span") >= min_length) & (F.col("holes") >= F.col("span") * F.lit(min_holes_ratio))
+        new = F.when(due, F.col("tail") + F.coalesce("_rank", F.lit(0))).otherwise(F.col("idx"))
+        return part.join(sums, F.col("coll").eqNullSafe(F.col("_k_coll"))).withColumn("new_idx", new).select(*indexed.columns, "new_idx")
+
+    return by_heat(indexed, ["coll"], moved, "idx")
 
 
 def discard(live: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.plans.fold import ordered_fold
+from tidefold.plans.fold import by_heat, ordered_fold, running
 from tidefold.plans.transitions import QueueState
 
 
+BY = ["coll"]
+
+
 def push_indices(log: DataFrame) -> DataFrame:
     """The index every push got in a log of pushes only; the first push of a queue gets 0 at either end."""
-    w = Window.partitionBy("coll").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    heads, tails = (F.count_if(F.col("op") == f"push_{e}").over(w) for e in ("head", "tail"))
-    first_head = F.first("op").over(w) == "push_head"
-    at_head = -heads + F.when(first_head, 1).otherwise(0)
-    at_tail = tails - F.when(first_head, 0).otherwise(1)
-    return log.withColumn("idx", F.when(F.col("op") == "push_head", at_head).otherwise(at_tail))
+
+    def indexed(part: DataFrame, chunk: int | None) -> DataFrame:
+        for end in ("head", "tail"):
+            part = running(part, f"_{end}s", (F.col("op") == f"push_{end}").cast("bigint"), BY, how="sum", inclusive=True, chunk=chunk)
+        before = F.struct(-F.col("seq"), F.col("op") == "push_head")  # the largest so far is the first
+        part = running(part, "_first", before, BY, how="max", inclusive=True, chunk=chunk)
+        first_head = F.col("_first.col2")
+        at_head = -F.col("_heads") + F.when(first_head, 1).otherwise(0)
+        at_tail = F.col("_tails") - F.when(first_head, 0).otherwise(1)
+        return part.withColumn("idx", F.when(F.col("op") == "push_head", at_head).otherwise(at_tail)).drop("_heads", "_tails", "_first")
+
+    return by_heat(log, BY, indexed)
 
 
 def fifo_pops(log: DataFrame) -> DataFrame:
@@ -26,14 +35,18 @@ def fifo_pops(log: DataFrame) -> DataFrame:
     maximum of D - P) pops came to nothing; one that did not raise E takes the
     push with P = D - E. An equi-join then finds it.
     """
-    w = Window.partitionBy("coll").orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    run = log.withColumn("P", F.count_if(F.col("op") == "push_tail").over(upto)).withColumn("D", F.count_if(F.col("op") == "pop_head").over(upto))
-    run = run.withColumn("E", F.greatest(F.lit(0), F.max(F.col("D") - F.col("P")).over(upto)))
-    run = run.withColumn("empty", F.col("E") > F.coalesce(F.lag("E").over(w), F.lit(0)))
+
+    def counted(part: DataFrame, chunk: int | None) -> DataFrame:
+        for name, op in (("P", "push_tail"), ("D", "pop_head")):
+            part = running(part, name, (F.col("op") == op).cast("bigint"), BY, how="sum", inclusive=True, chunk=chunk)
+        for name, inclusive in (("E", True), ("_E", False)):
+            part = running(part, name, F.col("D") - F.col("P"), BY, how="max", inclusive=inclusive, chunk=chunk)
+        return part.withColumn("E", F.greatest(F.lit(0), "E")).withColumn("empty", F.col("E") > F.greatest(F.lit(0), "_E")).drop("_E")
+
+    run = by_heat(log, BY, counted)
     pops = run.where("op = 'pop_head'").select("seq", "coll", F.when(~F.col("empty"), F.col("D") - F.col("E")).alias("k"))
     pushes = run.where("op = 'push_tail'").select(F.col("coll").alias("_c"), F.col("P").alias("_k"), F.col("seq").alias("pushed"), "val")
-    return pops.join(pushes, (F.col("coll") == F.col("_c")) & (F.col("k") == F.col("_k")), "left").select("seq", "coll", "pushed", "val")
+    return pops.join(pushes, F.col("coll").eqNullSafe(F.col("_c")) & (F.col("k") == F.col("_k")), "left").select("seq", "coll", "pushed", "val")
 
 
 def _kinds(log: DataFrame) -> tuple[str, str]:
@@ -42,11 +55,11 @@ def _kinds(log: DataFrame) -> tuple[str, str]:
 
 
 def deque_pops(log: DataFrame) -> DataFrame:
-    """``(seq, coll, op, idx, val)`` of each pop where both ends push and pop: the ordered fold."""
+    """``(seq, coll, op, idx, val)`` of each pop, and removal by ``idx``, where both ends push and pop: the ordered fold."""
 
     def step(state: QueueState, row) -> tuple | None:
-        out = state.apply(row.op, row.val)
-        return (row.seq, row.coll, row.op, *out) if row.op.startswith("pop") else None
+        out = state.apply(row.op, row.val, getattr(row, "idx", None))
+        return None if row.op.startswith("push") else (row.seq, row.coll, row.op, *out)
 
     coll, val = _kinds(log)
     return ordered_fold(log, ["coll"], QueueState, step, f"seq bigint, coll {coll}, op string, idx bigint, val {val}")
@@ -56,7 +69,7 @@ def deque_rest(log: DataFrame) -> DataFrame:
     """``(coll, idx, val)`` of what is left at the end."""
 
     def step(state: QueueState, row) -> None:
-        state.apply(row.op, row.val)
+        state.apply(row.op, row.val, getattr(row, "idx", None))
 
     def finish(key: tuple, state: QueueState):
         return [(key[0], i, state.values[i]) for i in sorted(state.values)]
@@ -67,8 +80,8 @@ def deque_rest(log: DataFrame) -> DataFrame:
 
 def extend(calls: DataFrame, values: str = "values") -> DataFrame:
     """``calls`` with the range ``[first, last)`` of indices each bulk append got, by queue and ``seq``."""
-    w = Window.partitionBy("coll").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ends = calls.withColumn("last", F.sum(F.size(values).cast("bigint")).over(w))
+    size = F.size(values).cast("bigint")
+    ends = by_heat(calls, BY, lambda part, chunk: running(part, "last", size, BY, how="sum", inclusive=True, chunk=chunk))
     return ends.withColumn("first", F.col("last") - F.size(values))
 
 
@@ -77,8 +90,12 @@ def elements(extended: DataFrame, values: str = "values") -> DataFrame:
     return extended.select("coll", "first", F.posexplode(values).alias("_at", "val")).select("coll", (F.col("first") + F.col("_at")).alias("idx"), "val")
 
 
-def bounds(live: DataFrame) -> DataFrame:
-    """``(coll, head, tail, n)``."""
+def bounds(live: DataFrame, queues: DataFrame | None = None) -> DataFrame:
+    """``(coll, head, tail, n)``; of the named ``queues``, an absent one has the empty range at the first index."""
+    if queues is not None:
+        known = bounds(live).select(F.col("coll").alias("_c"), "head", "tail", "n")
+        named = queues.select("coll").distinct().join(known, F.col("coll").eqNullSafe(F.col("_c")), "left")
+        return named.select("coll", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("head", "tail", "n")])
     return live.groupBy("coll").agg(F.min("idx").alias("head"), (F.max("idx") + 1).alias("tail"), F.count("*").alias("n"))
 
 

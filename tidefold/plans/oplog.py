@@ -12,6 +12,7 @@ ATOMIC_LIST_OPS = {"signup": "get_or_create", "click": "set", "purchase": "repla
 FIFO_OPS = {"signup": "push_tail", "click": "push_tail", "error": "pop_head"}
 PUSH_OPS = {"signup": "push_tail", "click": "push_tail", "view": "push_tail", "purchase": "push_head"}
 DEQUE_OPS = {"signup": "push_tail", "click": "push_tail", "purchase": "push_head", "error": "pop_head", "view": "pop_tail"}
+REMOVAL_OPS = {"signup": "push_tail", "click": "push_tail", "purchase": "push_head", "error": "pop_head", "view": "remove"}
 BIG_OPS = {"click": "set_big", "purchase": "set_big", "error": "remove_big"}
 
 

@@ -11,28 +11,28 @@ from typing import Any
 
 
 class MapState:
-    """One key of the flat map; ``value`` is None where the key is absent."""
+    """One key of the flat map. A null is a value like any other: ``live`` says whether the key is there."""
 
-    def __init__(self, value: Any = None):
-        self.value = value
+    def __init__(self, value: Any = None, live: bool | None = None):
+        self.value, self.live = value, value is not None if live is None else live
 
     def apply(self, op: str, val: Any = None, expected: Any = None) -> tuple[str, Any]:
-        old = self.value
+        old, live = self.value, self.live
         if op == "get":
-            return ("Found" if old is not None else "None"), old
+            return ("Found" if live else "None"), old
         if op == "remove":
-            self.value = None
-            return ("Removed" if old is not None else "None"), old
+            self.value, self.live = None, False
+            return ("Removed" if live else "None"), old
         if op == "set":
-            self.value = val
-            return ("PrevValue" if old is not None else "CreatedNew"), old
+            self.value, self.live = val, True
+            return ("PrevValue" if live else "CreatedNew"), old
         if op == "get_or_create":
-            if old is not None:
+            if live:
                 return "ExistingValue", old
-            self.value = val
+            self.value, self.live = val, True
             return "CreatedNew", val
         if op == "replace":
-            if old is None:
+            if not live:
                 return "DoesNotExist", None
             if expected is not None and old != expected:
                 return "WrongValue", old
@@ -67,10 +67,10 @@ class ListState:
             op = "set"
         state = self.items.get(item) or MapState()
         status, result = state.apply(op, val, expected)
-        if item not in self.items and state.value is not None:
+        if item not in self.items and state.live:
             self.items[item], self.index[item], self.at[self.tail] = state, self.tail, item
             self.tail += 1
-        elif item in self.items and state.value is None:
+        elif item in self.items and not state.live:
             self._drop(item)
         return status, result
 
@@ -141,6 +141,12 @@ class QueueState:
                     return at, out
             self._rest()
             return None, None
+        if op == "load":  # an element of a stored queue, at its place
+            if not self.values and self.head == self.tail:
+                self.head = self.tail = idx
+            self.values[idx] = val
+            self.head, self.tail = min(self.head, idx), max(self.tail, idx + 1)
+            return idx, val
         if op == "remove":
             if idx not in self.values:
                 return None, None

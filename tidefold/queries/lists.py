@@ -72,9 +72,11 @@ def list_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.lengths(live(spark, sf_dir), spark.range(12).withColumnRenamed("id", "coll"))
 
 
-@query(fold_sql(LOG, "select coll, item, val from live where coll = 3 and item % 20 = 3", KEY))
+@query(fold_sql(LOG, "select c_custkey % 10 as coll, c_custkey as item, val from customer left join live on live.coll = c_custkey % 10 and live.item = c_custkey", KEY))
 def list_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live(spark, sf_dir).where("coll = 3 and item % 20 = 3").select("coll", "item", "val")
+    """Every customer is asked for in its list, absent ones too."""
+    wanted = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("coll"), F.col("c_custkey").alias("item"))
+    return wanted.join(live(spark, sf_dir).select("coll", "item", "val"), ["coll", "item"], "left")
 
 
 @query(fold_sql(LOG, f"select * from (select coll, {RANK} as pos, item, val from live) where pos = 4", KEY))
@@ -95,6 +97,16 @@ def list_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("seq", "coll", "item", "status", "prev")
 
 
+CAS_LOG = f"select seq, op, coll, item, floor(val)::bigint % 5 as val, case when op = 'replace' then seq % 5 end as expected from ({ATOMIC})"
+
+
+@query(fold_sql(CAS_LOG, "select seq, coll, item, status, prev from f where op = 'replace'", KEY, expected="expected", kind="bigint"))
+def list_replace_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list's compare-and-swap compares the value."""
+    log = list_log(spark, sf_dir, ATOMIC_LIST_OPS).withColumn("val", F.floor("val") % 5).withColumn("expected", F.when(F.col("op") == "replace", F.col("seq") % 5))
+    return kv.replay_cas(log, ("coll", "item")).where("op = 'replace'").select("seq", "coll", "item", "status", F.col("result").alias("prev"))
+
+
 INDEXED = """select o_custkey as coll, o_orderkey as item, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx,
 o_orderstatus as status from orders"""
 

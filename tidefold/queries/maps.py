@@ -18,7 +18,7 @@ def map_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.checked_state(map_log(spark, sf_dir))
+    return kv.state(map_log(spark, sf_dir))
 
 
 @query(fold_sql(MAP_LOG, "select item, val from live"))
@@ -87,6 +87,33 @@ def kv_replace_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.replay_cas(log).where("op = 'replace'").select("seq", "item", "op", "status")
 
 
+LARGE = 2**53 + 1
+LARGE_LOG = f"select seq, op, item, {LARGE} + floor(val)::bigint % 5 as val, case when op = 'replace' then {LARGE} + seq % 5 end as expected from ({MAP_LOG})"
+
+
+@query(fold_sql(LARGE_LOG, "select seq, item, op, status, prev from f where op in ('replace', 'set')", expected="expected", kind="bigint"))
+def cas_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a floating-point number cannot tell apart."""
+    val, expected = F.lit(LARGE) + F.floor("val") % 5, F.lit(LARGE) + F.col("seq") % 5
+    log = map_log(spark, sf_dir).select("seq", "op", "item", val.alias("val"), F.when(F.col("op") == "replace", expected).alias("expected"))
+    return kv.replay_cas(log).where("op in ('replace', 'set')").select("seq", "item", "op", "status", F.when(F.col("status") != "DoesNotExist", F.col("result")).alias("prev"))
+
+
+@query(
+    fold_sql(
+        CAS_LOG,
+        """select count(*) as n, count(*) filter (status = 'PrevValue') as was_replaced, count(*) filter (status <> 'PrevValue') as failed,
+        count(*) filter (status = 'DoesNotExist') as is_key_missing, count(*) filter (status = 'WrongValue') as is_wrong_value from f where op = 'replace'""",
+        expected="expected",
+        kind="bigint",
+    )
+)
+def kv_replace_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("status")
+    tests = {"was_replaced": status == "PrevValue", "failed": status != "PrevValue", "is_key_missing": status == "DoesNotExist", "is_wrong_value": status == "WrongValue"}
+    return kv_replace_cas(spark, sf_dir).agg(F.count("*").alias("n"), *[F.count_if(t).alias(k) for k, t in tests.items()])
+
+
 @query(
     fold_sql(
         MAP_LOG,
@@ -144,6 +171,14 @@ def kv_iter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.page(placed_customers(spark, sf_dir), "key", 50, (3, 10, 0))
 
 
+@query(
+    f"""with p as (select *, row_number() over (order by shard, row, key) as n from ({PLACE}) where (shard, row, key) > (3, 10, 0))
+select arg_max(shard, n) filter (n <= 50) as shard, arg_max(row, n) filter (n <= 50) as row, max(key) filter (n = least(50, (select count(*) from p))) as key, count(*) <= 50 as at_end from p"""
+)
+def kv_next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.next_token(placed_customers(spark, sf_dir), "key", 50, (3, 10, 0))
+
+
 @query("select (('0x' || substr(md5(c_custkey::varchar), 1, 4))::int % 256)::int as hash, array_to_string(list_sort(list(c_custkey)), ',') as keys, count(*) as n from customer group by 1")
 def kv_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.by_hash(table(spark, sf_dir, "customer"), "c_custkey", 8).withColumn("keys", F.array_join("keys", ","))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidefold.operators import bigval
 from tidefold.operators.lists import ranked
 from tidefold.operators import queues as ops
-from tidefold.plans.oplog import BIG_OPS, DEQUE_OPS, FIFO_OPS, PUSH_OPS, from_events
+from tidefold.plans.oplog import BIG_OPS, DEQUE_OPS, FIFO_OPS, PUSH_OPS, REMOVAL_OPS, from_events
 from tidefold.queries.registry import log_sql, query, table
 
 CHUNK = 4096
@@ -80,6 +80,64 @@ f as (select coll, 0::bigint as rn, null::bigint as seq, null::varchar as op, nu
   from f join o on o.coll = f.coll and o.rn = f.rn + 1) {final}"""
 
 
+def indexed_sql(table_of: dict[str, str], final: str, idx: str = "null::bigint") -> str:
+    """A recursive fold with each queue as an array of (index, sequence number) and its range [head, tail)."""
+    element = lambda i: f"struct_pack(i := {i}, s := o.seq)"
+    there = "len(list_filter(f.q, lambda x: x.i = o.ridx)) > 0"
+    return f"""with recursive log as ({log_sql(table_of, "user_id")}),
+o as (select *, {idx} as ridx, row_number() over (partition by coll order by seq) as rn from log),
+f as (select coll, 0::bigint as rn, null::bigint as seq, null::varchar as op, null::bigint as got, null::bigint as idx, 0::bigint as head, 0::bigint as tail, []::struct(i bigint, s bigint)[] as q
+  from (select distinct coll from log)
+  union all select coll, rn, seq, op, got, idx, case when h >= t then 0 else h end, case when h >= t then 0 else t end, q from (
+    select o.coll, o.rn, o.seq, o.op,
+      case o.op when 'pop_head' then f.q[1].s when 'pop_tail' then f.q[-1].s when 'remove' then list_filter(f.q, lambda x: x.i = o.ridx)[1].s end as got,
+      case o.op when 'pop_head' then f.q[1].i when 'pop_tail' then f.q[-1].i when 'remove' then list_filter(f.q, lambda x: x.i = o.ridx)[1].i end as idx,
+      case o.op when 'push_head' then case when f.head = f.tail then f.head else f.head - 1 end when 'pop_head' then coalesce(f.q[1].i + 1, f.tail)
+        when 'remove' then case when {there} and o.ridx = f.head then f.head + 1 else f.head end else f.head end as h,
+      case o.op when 'push_tail' then f.tail + 1 when 'push_head' then case when f.head = f.tail then f.tail + 1 else f.tail end when 'pop_tail' then coalesce(f.q[-1].i, f.head)
+        when 'remove' then case when {there} and o.ridx = f.tail - 1 then f.tail - 1 else f.tail end else f.tail end as t,
+      case o.op when 'push_tail' then list_append(f.q, {element("f.tail")})
+        when 'push_head' then case when f.head = f.tail then list_append(f.q, {element("f.tail")}) else list_prepend({element("f.head - 1")}, f.q) end
+        when 'pop_head' then f.q[2:] when 'pop_tail' then f.q[:-2] else list_filter(f.q, lambda x: x.i <> o.ridx) end as q
+    from f join o on o.coll = f.coll and o.rn = f.rn + 1)) {final}"""
+
+
+TAKEN = "select f.seq, f.coll, f.op, f.idx, e.value as val from f left join events e on e.event_id = f.got where f.op not like 'push%'"
+LIVE = ", e as (select coll, arg_max(q, rn) as q from f group by coll), u as (select coll, unnest(q) as x from e) select u.coll, u.x.i as idx, v.value as val from u join events v on v.event_id = u.x.s"
+REMOVED = "floor(value)::bigint % 6 - 2"
+
+
+def removal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue_log(spark, sf_dir, REMOVAL_OPS).withColumn("idx", F.when(F.col("op") == "remove", F.floor("val") % 6 - 2))
+
+
+@query(indexed_sql(DEQUE_OPS, TAKEN))
+def queue_deque_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pops with the index of what they took."""
+    return ops.deque_pops(queue_log(spark, sf_dir, DEQUE_OPS)).select("seq", "coll", "op", "idx", "val")
+
+
+@query(indexed_sql(REMOVAL_OPS, TAKEN, REMOVED.replace("value", "val")))
+def queue_log_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals by index among pushes and pops."""
+    return ops.deque_pops(removal_log(spark, sf_dir)).select("seq", "coll", "op", "idx", "val")
+
+
+@query(indexed_sql(REMOVAL_OPS, LIVE, REMOVED.replace("value", "val")))
+def queue_log_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.deque_rest(removal_log(spark, sf_dir))
+
+
+@query(
+    """select u as coll, coalesce(min(idx), 0) as head, coalesce(max(idx) + 1, 0) as tail, count(idx) as n from (select distinct c_custkey as u from customer) c
+left join (select user_id, row_number() over (partition by user_id order by event_id) - 1 as idx from events where event_type in ('signup', 'click')) e on e.user_id = c.u group by u"""
+)
+def queue_range_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of named queues, also of those that are not there."""
+    pushes = ops.push_indices(queue_log(spark, sf_dir, {k: v for k, v in FIFO_OPS.items() if v == "push_tail"}))
+    return ops.bounds(pushes, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("coll")))
+
+
 @query(deque_sql(FIFO_OPS, "select f.seq, f.coll, f.got as pushed, e.value as val from f left join events e on e.event_id = f.got where f.op = 'pop_head'"))
 def queue_fifo_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fifo_pops(queue_log(spark, sf_dir, FIFO_OPS))

@@ -19,14 +19,14 @@ OUT = "seq bigint, item bigint, op string, status string, result double"
 
 def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows of one key in a micro-batch, in order of seq."""
-    own = MapState(state.get[0] if state.exists else None)
+    own = MapState(*state.get, live=True) if state.exists else MapState()
     rows = pd.concat(list(batches)).sort_values("seq")
+    rows = rows.astype(object).where(rows.notna(), None)
     out = [(r.seq, key[0], r.op, *own.apply(r.op, r.val)) for r in rows.itertuples(index=False)]
-    if own.value is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((float(own.value),))
+    if own.live:
+        state.update((None if own.value is None else float(own.value),))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["seq", "item", "op", "status", "result"])
 
 
