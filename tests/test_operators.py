@@ -9,7 +9,6 @@ from tidefold.functions.hashing import num_shards_of, siphash128
 from tidefold.operators import bigval, kv, lists, partition, queues, stats, typed
 from tidefold.plans.transitions import ListState, MapState, QueueState
 from tidefold.queries import registered
-from tidefold.sources.store import Config, Store
 from tidefold.sources.workspace import fresh
 from tidefold.streaming import processor
 
@@ -35,13 +34,101 @@ def test_replay_equals_simulation(spark, chunk):
     assert live == {k: s.value for k, s in states.items() if s.value is not None}
 
 
-def test_hot_keys_are_cut(spark):
-    from tidefold.plans.fold import chunk_for
+def test_only_hot_keys_are_cut(spark):
+    from tidefold.plans.fold import by_heat, hot_keys
 
-    _, log = random_log(spark, ["set"], n=400, keys=2)
-    assert chunk_for(log, ["item"], hot=1000) is None and chunk_for(log, ["item"], hot=10**9) is None
-    assert 1 <= chunk_for(log, ["item"], hot=50) < 400
-    assert chunk_for(log.limit(0), ["item"], hot=50) is None
+    rows = [(i, "set", None, 7 if i % 3 else i, 1.0) for i in range(400)]
+    log = spark.createDataFrame(rows, LOG)
+    assert hot_keys(log, ["item"], hot=1000) is None and hot_keys(log, ["item"], hot=10**9) is None and hot_keys(log.limit(0), ["item"], hot=50) is None
+    keys, chunk = hot_keys(log, ["item"], hot=50)
+    assert [r.item for r in keys.collect()] == [7] and 1 <= chunk < 400
+    seen = []
+    by_heat(log, ["item"], lambda part, size: seen.append((size is None, part.count())) or part, hot=50)
+    assert sorted(seen) == [(False, sum(1 for r in rows if r[3] == 7)), (True, sum(1 for r in rows if r[3] != 7))]
+
+
+@pytest.fixture(params=[None, 40])
+def heat(request, monkeypatch):
+    """Every plan twice: as it is, and with a third of the rows in one hot key that is cut into chunks."""
+    if request.param:
+        monkeypatch.setattr("tidefold.plans.fold.HOT_OPS", request.param)
+    return request.param
+
+
+def hot_log(spark, ops, seed=5, null_key=True):
+    rng = random.Random(seed)
+    key = lambda: None if null_key and rng.random() < 0.1 else rng.choice([0, 0, 1, 2])
+    rows = [(i, rng.choice(ops), key(), rng.choice([0, 0, 0, 1, 2, None]), None if rng.random() < 0.1 else float(rng.randrange(4))) for i in range(700)]
+    return rows, spark.createDataFrame(rows, LOG)
+
+
+def test_null_keys_null_values_and_hot_keys(spark, heat):
+    rows, log = hot_log(spark, ["set", "get_or_create", "replace", "remove", "get"])
+    states, expected = {}, {}
+    for seq, op, _, item, val in rows:
+        state = states.setdefault(item, MapState())
+        old = state.value
+        expected[seq] = (state.apply(op, val)[0], old)
+    assert {r.seq: (r.status, r.prev) for r in kv.replay(log).collect()} == expected
+    live = {k: s.value for k, s in states.items() if s.live}
+    assert {r.item: r.val for r in kv.state(log).collect()} == live
+    assert {r.item: r.val for r in kv.replay_cas(log.withColumn("expected", F.lit(None).cast("double"))).groupBy("item").agg(F.max_by(F.col("result"), "seq").alias("val")).collect()}.keys() == states.keys()
+
+
+def test_lists_and_queues_with_hot_keys(spark, heat):
+    rows, log = hot_log(spark, ["set", "get_or_create", "promote", "remove", "replace"])
+    states = {}
+    for _, op, coll, item, val in rows:
+        states.setdefault(coll, ListState()).apply(op, item, val)
+    order = {(c, p): (i, v) for c, s in states.items() for p, (_, i, v) in enumerate(s.ordered())}
+    live = lists.items(log)
+    assert {(r.coll, r.pos): (r.item, r.val) for r in lists.ranked(live).collect()} == order
+    assert {(r.coll, len(states[r.coll]) - 1 - r.pos): (r.item, r.val) for r in lists.from_tail(live).collect()} == order
+
+    rows, log = hot_log(spark, ["push_tail", "push_head"], null_key=False)
+    states, expected = {}, {}
+    for seq, op, coll, _, val in rows:
+        expected[seq] = states.setdefault(coll, QueueState()).apply(op, val)[0]
+    assert {r.seq: r.idx for r in queues.push_indices(log).collect()} == expected
+
+    rows, log = hot_log(spark, ["push_tail", "pop_head", "pop_head", "push_tail", "push_tail"], null_key=False)
+    states, expected = {}, {}
+    for seq, op, coll, _, val in rows:
+        out = states.setdefault(coll, QueueState()).apply(op, (seq, val))
+        if op == "pop_head":
+            expected[seq] = out[1] or (None, None)
+    assert {r.seq: (r.pushed, r.val) for r in queues.fifo_pops(log).collect()} == expected
+
+    calls = spark.createDataFrame([(i, i % 3 and 1, [1] * (i % 5)) for i in range(300)], "seq bigint, coll bigint, values array<int>")
+    done = {}
+    for r in queues.extend(calls).orderBy("seq").collect():
+        assert (r.first, r.last) == (done.get(r.coll, 0), done.get(r.coll, 0) + len(r["values"]))
+        done[r.coll] = r.last
+
+
+def test_compaction_of_hot_lists(spark, heat):
+    rng = random.Random(9)
+    rows = [(c, i, i) for c, n in ((0, 300), (1, 60), (2, 5), (None, 40)) for i in range(n) if rng.random() < 0.6]
+    got = {(r.coll, r.item): r.new_idx for r in lists.compacted(spark.createDataFrame(rows, "coll bigint, item bigint, idx bigint"), 20, 0.25).collect()}
+    for c in (0, 1, 2, None):
+        own = sorted(i for coll, i, _ in rows if coll == c)
+        span = own[-1] + 1 - own[0]
+        due = span >= 20 and span - len(own) >= 0.25 * span
+        assert [got[c, i] for i in own] == ([own[-1] + 1 + k for k in range(len(own))] if due else own)
+
+
+def test_values_stay_exact(spark):
+    """64-bit values and nulls go through the ordered fold as they are."""
+    big = 2**53 + 1
+    log = spark.createDataFrame([(0, "set", 1, big, None), (1, "replace", 1, 5, big - 1), (2, "replace", 1, 6, big), (3, "set", None, big, None), (4, "get", None, None, None)], "seq bigint, op string, item bigint, val bigint, expected bigint")
+    assert sorted((r.seq, r.status, r.result) for r in kv.replay_cas(log).collect()) == [(0, "CreatedNew", None), (1, "WrongValue", big), (2, "PrevValue", big), (3, "CreatedNew", None), (4, "Found", big)]
+
+
+def test_removal_by_index_in_a_log(spark):
+    rows = [(0, "push_tail", 1, 1.0, None), (1, "push_tail", 1, 2.0, None), (2, "remove", 1, None, 0), (3, "remove", 1, None, 9), (4, "pop_tail", 1, None, None)]
+    log = spark.createDataFrame(rows, "seq bigint, op string, coll bigint, val double, idx bigint")
+    assert sorted(map(tuple, queues.deque_pops(log).collect())) == [(2, 1, "remove", 0, 1.0), (3, 1, "remove", None, None), (4, 1, "pop_tail", 1, 2.0)]
+    assert queues.deque_rest(log).count() == 0
 
 
 def test_lists_equal_simulation(spark):
@@ -129,23 +216,6 @@ def test_u128_order(spark):
     assert [tuple(r) for r in got] == [(0, 2), (0, 5), (1, 0)]
 
 
-def test_store_prunes_and_compacts(spark):
-    store = Store(spark, fresh(spark, "store"), Config(expected_keys=1_000_000))
-    rows, log = random_log(spark, ["set", "remove", "get_or_create"], keys=40)
-    store.append(log.where("seq < 300"))
-    store.compact()
-    store.append(log.where("seq >= 300"))
-    expected = {r.item: r.val for r in kv.state(log).collect()}
-    assert {r.item: r.val for r in store.entries().collect()} == expected
-    store.compact()
-    item = min(expected)
-    found = store.get(item)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(shard" in plan and found.first()["val"] == expected[item]
-    store.clear()
-    assert store.entries().count() == 0
-
-
 def test_stream_restarts_from_its_checkpoint(spark):
     """Half of the log, a stop, the other half with a new query: the state is as if it had never stopped."""
     path = fresh(spark, "stream")
@@ -163,12 +233,38 @@ def test_stream_restarts_from_its_checkpoint(spark):
 
 
 def test_merging_small_spans():
+    def merged(spans, level, **options):
+        rows = {s: [n // 64 + (k < n % 64) for k in range(64)] for s, n in spans.items()}
+        return {s: sum(n) for s, n in partition.merged_spans(rows, level, **options).items()}
+
     even = lambda shards, n: {(i * 65536 // shards, (i + 1) * 65536 // shards): n // shards for i in range(shards)}
-    assert partition.merged_spans(even(4, 4_000), 0.4) == {(0, 65536): 4_000}
-    assert len(partition.merged_spans(even(32, 200_000), 0.45, expected=200_000)) == 8
-    assert partition.merged_spans(even(4, 100_000), 0.4) == even(4, 100_000)
+    assert merged(even(4, 4_000), 0.4) == {(0, 65536): 4_000}
+    assert len(merged(even(32, 200_000), 0.45, expected=200_000)) == 8
+    assert merged(even(4, 100_000), 0.4) == even(4, 100_000)
     uneven = {(0, 16384): 100, (16384, 32768): 20_000, (32768, 65536): 50}
-    assert partition.merged_spans(uneven, 0.4) == uneven
+    assert merged(uneven, 0.4) == uneven
+    full = {(0, 32768): [512, *[0] * 63], (32768, 65536): [1, *[0] * 63]}
+    assert partition.merged_spans(full, 0.4) == full  # a row of both would hold more than fit
+    assert len(merged({(i, i + 1): 0 for i in range(65536)}, 0.4)) == 1  # as many spans as there can be
+
+
+def test_merge_loop_on_a_table(spark, sf_dir):
+    """What is left cannot be merged further, and what was merged could be."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    for width, capacity in ((24, 1000), (3, 1000), (512, 60)):
+        got = {(r.start, r.end): r.n for r in partition.merge_small_shards(orders, key, 64, 0.45, width=width, capacity=capacity).collect()}
+        rows = {}
+        for r in partition.span_rows(orders, key, 64).collect():
+            rows.setdefault(r.start, [0] * 64)[r.row] = r.n
+        inside = lambda a, b: [sum(rows.get(s, [0] * 64)[k] for s in range(a, b, 1024)) for k in range(64)]
+        assert sorted(got)[0][0] == 0 and sorted(got)[-1][1] == 65536 and all(a[1] == b[0] for a, b in zip(sorted(got), sorted(got)[1:]))
+        assert all(sum(inside(a, b)) == n for (a, b), n in got.items())
+        spare = len(got) - num_shards_of(sum(got.values()), capacity)
+        for (a, b), n in got.items():
+            other = (b, 2 * b - a) if a % (2 * (b - a)) == 0 else (2 * a - b, a)
+            small = other in got and max(n, got[other]) <= int(0.45 * capacity) and max(x + y for x, y in zip(inside(a, b), inside(*other))) <= width
+            assert not small or spare <= 0
 
 
 def test_typed_lists_and_deques(spark):
@@ -192,7 +288,29 @@ def test_typed_lists_and_deques(spark):
     assert tuple(deque.range(log).first())[1:] == (-1, 1, 2) and deque.peek(log, "head").first()["val"] == 103.0
 
 
+def test_typed_keys_and_bytes(spark):
+    df = spark.createDataFrame([(1, "x", None), (2, None, "y"), (3, "x", "y")], "i bigint, p string, q string")
+    view = typed.TypedCollection(900)
+    stored = view.rows(df, [F.col("p"), F.col("q")], F.col("i"))
+    asked = df.select(F.col("p").alias("other"), F.col("q").alias("name"))
+    assert sorted((r.other or "", r.name or "", r.value) for r in view.get(stored, asked, [F.col("other"), F.col("name")]).collect()) == [("", "y", 2), ("x", "", 1), ("x", "y", 3)]
+    assert view.contains(stored, asked.where("other = 'x'"), [F.col("other"), F.col("name")]).count() == 2
+    values = spark.createDataFrame([(2**63 - 1, -5, 200, "é", True), (-(2**63), 5, 0, "a", False), (None,) * 5], "a bigint, b int, c int, d string, e boolean")
+    for column, kind in (("a", "i64"), ("b", "i32"), ("b", "i8"), ("c", "u8"), ("d", "char"), ("e", "bool")):
+        data = typed.to_bytes(F.col(column), kind)
+        rows = values.select(F.col(column).alias("was"), typed.from_bytes(data, kind).alias("now"), F.octet_length(data).alias("n")).collect()
+        assert all(r.was == r.now and r.n in (None, typed.SIZES[kind]) for r in rows)
+    row = spark.range(1).select(typed.to_bytes(F.lit(258), "u32").alias("le"), typed.from_bytes(F.lit(b"\xff" * 8), "u64").alias("u64"), typed.from_bytes(F.lit(b"\xff" * 8), "i64").alias("i64")).first()
+    assert bytes(row.le) == b"\x02\x01\x00\x00" and row.u64 == 2**64 - 1 and row.i64 == -1
+    for data, kind in ((b"\x01", "u16"), (b"\x01\x02\x03", "u16"), (b"\x02", "bool")):
+        with pytest.raises(Exception, match="bytes are no"):
+            spark.range(1).select(typed.from_bytes(F.lit(data), kind)).collect()
+    assert spark.range(1).select(typed.decoded(F.lit("no key"), ("bigint",)).alias("k")).first()["k"] == (None,)
+    with pytest.raises(Exception, match="MALFORMED"):
+        spark.range(1).select(typed.decoded(F.lit("no key"), ("bigint",), strict=True).alias("k")).collect()
+
+
 def test_merge_plan_of_the_whole_table(spark, sf_dir):
-    plan = registered["shard_merge_plan_whole"](spark, sf_dir).collect()
+    plan = registered["shard_merge_plan"](spark, sf_dir).collect()
     assert sum(r.n for r in plan) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert {r.merged for r in plan} == {True, False}

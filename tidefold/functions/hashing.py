@@ -26,8 +26,8 @@ def num_shards(expected: Column) -> Column:
     return (F.lit(SPAN) / F.pow(F.lit(2.0), F.floor(F.log2(F.lit(float(SPAN)) / F.greatest(expected / F.lit(float(CAPACITY)), F.lit(1.0)))))).cast("int")
 
 
-def num_shards_of(expected: int) -> int:
-    return SPAN // 2 ** math.floor(math.log2(SPAN / max(expected / CAPACITY, 1.0)))
+def num_shards_of(expected: int, capacity: int = CAPACITY) -> int:
+    return SPAN // 2 ** math.floor(math.log2(SPAN / max(expected / capacity, 1.0)))
 
 
 def siphash128(data: bytes, key: bytes) -> tuple[int, int]:

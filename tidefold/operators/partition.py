@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def routed(df: DataFrame, key: Column, shards: int) -> DataFrame:
     return at.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("row").alias("rows_used"))
 
 
-def split_plan(df: DataFrame, key: Column, width: int = WIDTH, levels: int = 12) -> DataFrame:
+def split_plan(df: DataFrame, key: Column, width: int = WIDTH, levels: int = 16) -> DataFrame:
     """``(start, level, n)``: the dyadic spans after splitting each until its rows fit ``width``.
 
     One pass counts keys by (selector cell of the deepest level, row); every
@@ -52,33 +54,44 @@ def merge_plan(shards: DataFrame, level: float, capacity: int) -> DataFrame:
     return merged.groupBy("target").agg(F.sum("n").alias("n"), F.max("merged").alias("merged"))
 
 
-def merged_spans(counts: dict[tuple[int, int], int], level: float, expected: int = 0) -> dict[tuple[int, int], int]:
-    """The spans ``[start, end)`` and their keys after merging small buddies, until as few are left as the keys need.
+def span_rows(df: DataFrame, key: Column, shards: int) -> DataFrame:
+    """``(start, end, row, n)``: the keys in each hash row of each of ``shards`` equal spans."""
+    width = SPAN // shards
+    start = (F.floor(F.col("sel") / width) * width).cast("int")
+    return placed(df, key).groupBy(start.alias("start"), (start + width).alias("end"), "row").agg(F.count("*").alias("n"))
 
-    Two spans merge if they are the halves of one dyadic span and each holds at
-    most ``level`` of a shard's capacity; lower halves come first, and a merged
-    span may merge again. Works on one number for each of at most 65,536 spans.
+
+def merged_spans(rows: dict[tuple[int, int], Sequence[int]], level: float, expected: int = 0, width: int = WIDTH, capacity: int = CAPACITY) -> dict[tuple[int, int], list[int]]:
+    """The spans ``[start, end)`` and the keys in each of their hash rows after merging small buddies, until as few are left as the keys need.
+
+    Two spans merge if they are the halves of one dyadic span, each holds at
+    most ``level`` of a shard's capacity, and no row of both together has more
+    than ``width`` keys; lower halves come first, and a merged span may merge
+    again. Works on ``ROWS`` numbers for each of at most 65,536 spans.
     """
     if not 0.0 < level < 0.5:
         raise ValueError("the fill level must lie between 0 and 0.5")
-    most, spans = int(CAPACITY * level), dict(counts)
-    spare = len(spans) - num_shards_of(max(sum(spans.values()), expected))
+    most, spans = int(capacity * level), {s: list(n) for s, n in rows.items()}
+    starts = sorted(s for s, _ in spans)
+    spare = len(spans) - num_shards_of(max(sum(map(sum, spans.values())), expected), capacity)
 
     def merge(start: int, end: int) -> bool:
         """Whether [start, end) is, or has become, one span."""
         nonlocal spare
         if (start, end) in spans:
             return True
-        middle = (start + end) // 2
-        if not any(start <= a and b <= end for a, b in spans) or end - start < 2:
+        if end - start < 2 or bisect_left(starts, start) == bisect_left(starts, end):
             return False
+        middle = (start + end) // 2
         low, high = merge(start, middle), merge(middle, end)
         if not (low and high) or spare <= 0:
             return False
-        halves = (start, middle), (middle, end)
-        if any(spans[h] > most for h in halves):
+        halves = [spans[start, middle], spans[middle, end]]
+        both = [a + b for a, b in zip(*halves)]
+        if any(sum(h) > most for h in halves) or max(both) > width:
             return False
-        spans[start, end] = sum(spans.pop(h) for h in halves)
+        del spans[start, middle], spans[middle, end]
+        spans[start, end] = both
         spare -= 1
         return True
 
@@ -87,6 +100,15 @@ def merged_spans(counts: dict[tuple[int, int], int], level: float, expected: int
     return spans
 
 
+def merge_small_shards(df: DataFrame, key: Column, shards: int, level: float, expected: int = 0, width: int = WIDTH, capacity: int = CAPACITY) -> DataFrame:
+    """``(start, end, n)``: the spans that are left of ``shards`` equal ones after ``merged_spans``."""
+    rows: dict[tuple[int, int], list[int]] = {(i * SPAN // shards, (i + 1) * SPAN // shards): [0] * ROWS for i in range(shards)}
+    for r in span_rows(df, key, shards).collect():  # at most ROWS for each span
+        rows[r["start"], r["end"]][r["row"]] = r["n"]
+    left = merged_spans(rows, level, expected, width, capacity)
+    return df.sparkSession.createDataFrame([(a, b, sum(n)) for (a, b), n in sorted(left.items())], "start int, end int, n bigint")
+
+
 def consolidated(spans: DataFrame, group: str | None = None) -> DataFrame:
     """Spans ``[start, end)`` with ``covered``: whether an earlier or wider one contains them."""
     w = Window.partitionBy(*([group] if group else [])).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.functions.hashing import CAPACITY, num_shards
+from tidefold.functions.hashing import CAPACITY, num_shards, selector
 from tidefold.operators import kv, partition, stats
-from tidefold.plans.oplog import MAP_OPS, from_events
-from tidefold.queries.maps import MAP_LOG, map_log
+from tidefold.plans.oplog import MAP_OPS, REMOVAL_OPS, from_events
+from tidefold.operators.lists import ranked
+from tidefold.queries.lists import LOG as LIST_LOG, RANK, list_log
+from tidefold.queries.maps import CAS_LOG, MAP_LOG, map_log
+from tidefold.queries.queues import LIVE, REMOVED, indexed_sql, removal_log
 from tidefold.queries.registry import fold_sql, query, table
-from tidefold.sources.store import Config, Store
+from tidefold.sources.store import LIST, QUEUE, Config, Store
 from tidefold.sources.workspace import fresh
 from tidefold.streaming import processor
 
@@ -94,44 +97,44 @@ def shard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with recursive k as (select {ROUTE} as sel, {ROW} as r from orders),
-s as (select level, sel >> (16 - level) as span, max(n) as fullest, sum(n)::bigint as n from (select level, sel >> (16 - level) << (16 - level) as sel, r, count(*) as n from k, range(13) t(level) group by all) group by all),
+s as (select level, sel >> (16 - level) as span, max(n) as fullest, sum(n)::bigint as n from (select level, sel >> (16 - level) << (16 - level) as sel, r, count(*) as n from k, range(17) t(level) group by all) group by all),
 f as (select 0::bigint as level, 0::bigint as span union all
-  select c.level, c.span from f join s p on p.level = f.level and p.span = f.span join s c on c.level = p.level + 1 and c.span >> 1 = p.span where p.fullest > 8 and p.level < 12)
-select (s.span << (16 - s.level))::int as start, s.level::int as level, s.n from f join s on s.level = f.level and s.span = f.span where s.fullest <= 8 or s.level = 12"""
+  select c.level, c.span from f join s p on p.level = f.level and p.span = f.span join s c on c.level = p.level + 1 and c.span >> 1 = p.span where p.fullest > 8 and p.level < 16)
+select (s.span << (16 - s.level))::int as start, s.level::int as level, s.n from f join s on s.level = f.level and s.span = f.span where s.fullest <= 8 or s.level = 16"""
 )
 def shard_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.split_plan(table(spark, sf_dir, "orders"), order_key(), width=8)
 
 
-@query(
-    f"""with s as (select {ROUTE} // 1024 as shard, count(*) as n from orders where o_orderkey % 3 = 0 group by 1), p as (select *, max(n) over (partition by shard // 2) <= 90 and count(*) over (partition by shard // 2) = 2 as m from s)
-select (case when m then shard // 2 * 2 else shard end)::int as target, sum(n)::bigint as n, bool_or(m) as merged from p group by 1"""
-)
-def shard_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = partition.routed(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), order_key(), 64)
-    return partition.merge_plan(sizes, 0.3, 300)
-
-
 @query(
     f"""with s as (select {ROUTE} // 1024 as shard, count(*) as n from orders group by 1),
 p as (select *, max(n) over (partition by shard // 2) <= (select count(*) from orders) // 64 and count(*) over (partition by shard // 2) = 2 as m from s)
 select (case when m then shard // 2 * 2 else shard end)::int as target, sum(n)::bigint as n, bool_or(m) as merged from p group by 1"""
 )
-def shard_merge_plan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shard_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders; buddies merge that both hold at most the mean of the 64 shards, a quarter of the capacity taken here."""
     orders = table(spark, sf_dir, "orders")
     return partition.merge_plan(partition.routed(orders, order_key(), 64), 0.25, 4 * (orders.count() // 64))
 
 
-SPANS = [(16, 32), (0, 16), (0, 32), (48, 64), (32, 48), (50, 60)]
+@query(None)
+def shard_merge_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """256 spans merged, buddies of at most 0.45 of a capacity taken here of 1,000 keys, but for those whose rows together hold more than 24."""
+    return partition.merge_small_shards(table(spark, sf_dir, "orders"), order_key(), 256, 0.45, width=24, capacity=1000)
+
+
+SPANS = f"""select distinct ({ROUTE} // w * w)::int as start, ({ROUTE} // w * w + w)::int as "end" from (select *, 1 << (6 + o_orderkey % 7)::int as w from orders)"""
 
 
 @query(
-    f"""with s(start, "end") as (values {", ".join(map(str, SPANS))}) select start::int as start, "end"::int as "end",
-exists (select 1 from s o where o.start <= s.start and o."end" >= s."end" and (o.start, o."end") <> (s.start, s."end")) as covered from s"""
+    f"""with s as ({SPANS}) select start, "end", exists (select 1 from s o where o.start <= s.start and o."end" >= s."end" and (o.start, o."end") <> (s.start, s."end")) as covered from s"""
 )
 def span_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.consolidated(spark.createDataFrame(SPANS, "start int, end int"))
+    """A span of 64 to 4,096 selectors around each order's; none crosses a multiple of the widest, which deals them out."""
+    spans = table(spark, sf_dir, "orders").select(selector(order_key()).alias("sel"), F.expr("shiftleft(1, cast(6 + o_orderkey % 7 as int))").alias("w"))
+    start = (F.floor(F.col("sel") / F.col("w")) * F.col("w")).cast("int")
+    spans = spans.select(start.alias("start"), (start + F.col("w")).cast("int").alias("end")).distinct()
+    return partition.consolidated(spans.withColumn("group", F.floor(F.col("start") / 4096)), "group").drop("group")
 
 
 @query(
@@ -169,15 +172,19 @@ def sliding_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE = fold_sql(MAP_LOG, "select item, val from live")
 
 
-@query(STATE)
-def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the log compacted to a snapshot by shard, the rest appended and folded over it."""
-    store, log = Store(spark, fresh(spark, "store"), Config(expected_keys=200_000)), map_log(spark, sf_dir)
+def half_compacted(spark: SparkSession, log: DataFrame, config: Config = Config(expected_keys=200_000)) -> Store:
+    """Half of the log compacted to a snapshot by shard, the rest appended after it."""
+    store = Store(spark, fresh(spark, "store"), config)
     middle = log.agg(F.percentile_approx("seq", 0.5)).first()[0]
     store.append(log.where(F.col("seq") <= middle))
     store.compact()
     store.append(log.where(F.col("seq") > middle))
-    return store.entries()
+    return store
+
+
+@query(STATE)
+def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return half_compacted(spark, map_log(spark, sf_dir)).entries()
 
 
 @query(fold_sql(MAP_LOG, "select item, val from live where item = (select min(item) from live)"))
@@ -189,6 +196,44 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(store.snapshot().agg(F.min("item")).first()[0])
 
 
+@query(fold_sql(MAP_LOG, "select item, val from live where item = (select max(item) from live)"))
+def store_get_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point lookup over snapshot and log."""
+    store = half_compacted(spark, map_log(spark, sf_dir))
+    return store.get(store.entries().agg(F.max("item")).first()[0])
+
+
+@query(fold_sql(MAP_LOG, "select c_custkey as item, live.item is not null as found, val from customer left join live on live.item = c_custkey"))
+def store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"))
+    return half_compacted(spark, map_log(spark, sf_dir)).multi_get(keys)
+
+
+@query(fold_sql(LIST_LOG, f"select coll, {RANK} as pos, item, val from live", "coll, item"))
+def store_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists keep their order through a compaction."""
+    store = half_compacted(spark, list_log(spark, sf_dir).withColumn("ns", F.lit(LIST)))
+    return ranked(store.items()).select("coll", F.col("pos").cast("bigint").alias("pos"), "item", "val")
+
+
+@query(indexed_sql(REMOVAL_OPS, LIVE, REMOVED.replace("value", "val")))
+def store_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues keep their indices through a compaction."""
+    return half_compacted(spark, removal_log(spark, sf_dir).withColumn("ns", F.lit(QUEUE))).elements()
+
+
+@query(fold_sql(CAS_LOG, "select item, val from live", expected="expected", kind="bigint"))
+def store_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compare-and-swap over snapshot and log, in a store of integers."""
+    log = map_log(spark, sf_dir).withColumn("expected", F.when(F.col("op") == "replace", F.col("seq") % 5)).withColumn("val", F.floor("val") % 5)
+    store = Store(spark, fresh(spark, "store"), val="bigint")
+    middle = log.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    store.append(log.where(F.col("seq") <= middle))
+    store.compact()
+    store.append(log.where(F.col("seq") > middle))
+    return store.entries()
+
+
 @query(fold_sql(MAP_LOG, "select seq, item, op, status, case when op = 'get_or_create' and status = 'CreatedNew' then val else prev end as result from f where rn > 0"))
 def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream, to its end: what every operation returned."""
