@@ -129,18 +129,19 @@ def sequences(docs: DataFrame, size: int = SEQUENCE, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of one file come in order; a gap only makes one more fragment
-        held, start = b"", 0
+        held, start = bytearray(), 0
 
         def flush(last: bool):
-            nonlocal held, start
-            out = []
-            while held:
+            nonlocal start
+            out, at = [], 0
+            while at < len(held):
                 sequence, offset = divmod(start, size)
-                take = min(len(held) // 2, size - offset)
+                take = min((len(held) - at) // 2, size - offset)
                 if take < size - offset and not last:
                     break
-                out.append((sequence, offset, take == size, held[: 2 * take]))
-                held, start = held[2 * take :], start + take
+                out.append((sequence, offset, take == size, bytes(held[at : at + 2 * take])))
+                at, start = at + 2 * take, start + take
+            del held[:at]
             return pa.record_batch(
                 [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
                 ["sequence_id", "offset", "full", "ids"],
@@ -151,8 +152,8 @@ def sequences(docs: DataFrame, size: int = SEQUENCE, **options) -> DataFrame:
                 here = offsets[part, file, first] + before
                 if here != start + len(held) // 2:
                     yield flush(True)
-                    held, start = b"", here
-                held += ids
+                    start = here
+                held.extend(ids)
             yield flush(False)
         yield flush(True)
 

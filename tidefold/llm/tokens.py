@@ -7,7 +7,8 @@ cache, and only new pieces go through the library's model. Where the cut could
 differ from the library's own (other white space beside a blank), or a piece
 has characters beyond Latin letters and ASCII, the library encodes the whole;
 so it does with a text that holds the literal of an added token, such as
-``<|endoftext|>``, which the library takes for that token. ``tests/llm`` holds both against ``Tokenizer.encode``.
+``<|endoftext|>``, which the library takes for that token. A very long text is
+taken part by part. ``tests/llm`` holds all this against ``Tokenizer.encode``.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS, LONG = 1_200_000, 100_000, 1 << 20
 
 #: What the fast path splits; the same alternatives as the vocabularies' own patterns, on ASCII and Latin letters.
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ž"  # without U+0130, whose lower case is two characters
@@ -68,8 +70,9 @@ class CachedEncoder:
         letters = [chr(c) for c in range(0x180) if _SAFE.fullmatch(chr(c))]
         self.alphabet = {ord(c): "".join(table[b] for b in c.encode()) for c in letters}
         self.lead = "" if lower else " "
+        self.mark = self.lead.translate(self.alphabet)
         self.pieces = _WORD_PIECES if lower else _BYTE_PIECES
-        self.cache, self.older = _Cache(self._new), {}
+        self.cache, self.older, self.parts = _Cache(self._new), {}, {}
         self.closers = {c: self.whole(c) for c in _CLOSERS}
 
     def whole(self, text: str) -> bytes:
@@ -77,15 +80,17 @@ class CachedEncoder:
 
     def _new(self, unit: str) -> bytes:
         """The ids of a unit after a blank, kept; the older half of a full cache goes."""
-        if unit in self.older:
-            out = self.cache[unit] = self.older[unit]
-            return out
-        if unit.isalpha() and _LETTERS.fullmatch(unit):
-            out = self.one((self.lead + unit).lower() if self.lower else self.lead + unit)
-        elif unit[-1:] in _CLOSERS and unit[-2:-1].isalpha():  # a boundary of both vocabularies
-            out = (self.cache.get(unit[:-1]) or self._new(unit[:-1])) + self.closers[unit[-1]]
-        else:
-            out = self.piece(self.lead + unit)
+        if (out := self.older.get(unit)) is None:
+            if unit.isalpha() and (unit.isascii() or _LETTERS.fullmatch(unit)):
+                if self.lower and (low := unit.lower()) != unit:
+                    return self.cache[low]
+                out = self.merged(self.mark + (unit if unit.isascii() else unit.translate(self.alphabet)))
+            elif unit[-1:] in _CLOSERS and unit[-2:-1].isalpha():  # a boundary of both vocabularies
+                out = self.cache[unit[:-1]] + self.closers[unit[-1]]
+            else:
+                out = self.piece(self.lead + unit)
+                if "\n" in unit or len(unit) > 40:  # seldom seen again; its words are kept
+                    return out
         cache = self.cache
         if len(cache) >= CACHE_WORDS // 2:
             self.older = dict(cache)
@@ -94,17 +99,40 @@ class CachedEncoder:
             cache[unit] = out
         return out
 
-    def one(self, piece: str) -> bytes:
-        if not (piece.isascii() and piece.isalpha()):
-            piece = piece.translate(self.alphabet)
+    def merged(self, piece: str) -> bytes:
+        """The ids of a piece in the letters that stand for its bytes."""
         return array(self.code, [t.id for t in self.merge(piece)]).tobytes()
 
+    def part(self, piece: str) -> bytes:
+        """The ids of one piece between boundaries; those of a word come from the cache of units where it has them."""
+        word = piece[1:] if self.lead and piece[0] == " " else piece if self.lower else ""
+        if word.isalpha():
+            return self.cache[word]
+        if (out := self.parts.get(piece)) is None:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            out = self.merged(piece.translate(self.alphabet))
+            if len(piece) < 64:
+                self.parts[piece] = out
+        return out
+
     def piece(self, unit: str) -> bytes:
         if not _SAFE.fullmatch(unit):
             return self.whole(unit)
-        return b"".join([self.one(p) for p in self.pieces.findall(unit.lower() if self.lower else unit)])
+        return b"".join(map(self.part, self.pieces.findall(unit.lower() if self.lower else unit)))
 
     def encode(self, text: str) -> bytes:
+        return self._encode(text) if len(text) <= LONG else b"".join(self.parts_of(text))
+
+    def parts_of(self, text: str) -> Iterator[bytes]:
+        """The ids of a text in parts of about ``LONG`` characters, cut at blanks between two letters, where both vocabularies have a boundary."""
+        at = 0
+        while m := _CUT.search(text, at + LONG):
+            yield self._encode(text[at : m.start()])
+            at = m.start()
+        yield self._encode(text[at:])
+
+    def _encode(self, text: str) -> bytes:
         for literal in self.added:
             if literal in text:
                 return self.whole(text)
@@ -118,6 +146,7 @@ class CachedEncoder:
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u0300-\u036f\u2028\u2029]")
 #: A blank followed by white space or by the end: there the cut before the blank may be no boundary.
 _RUNS = re.compile(r" (?:\s|$)")
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 _ENCODERS: dict[tuple[str, bool], CachedEncoder] = {}
 
