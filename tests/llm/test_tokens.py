@@ -49,6 +49,15 @@ def test_a_full_cache_changes_nothing(monkeypatch, documents):
     assert len(e.cache) <= 64
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_long_texts_by_parts(name, monkeypatch, documents):
+    text = " ".join([*ODD, *(r.text for r in documents.limit(15).collect()), *ODD, "no cut here:1", "2 3 4 5"])
+    monkeypatch.setattr("tidefold.llm.tokens.LONG", 50)
+    e = encoder(name, NAMES[name])
+    assert len(list(e.parts_of(text))) > 100
+    assert e.encode(text) == e.whole(text)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 49_407), min_size=1, max_size=300), st.integers(1, 300))
 def test_rans_round_trip(ids, times):
@@ -83,10 +92,10 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
-def test_token_files(request, which):
+@pytest.mark.parametrize("which, segment", [("edge", 5000), ("edge", 300), ("documents", 5000), ("nothing", 5000)])
+def test_token_files(request, which, segment, monkeypatch):
     df = request.getfixturevalue(which)
-    rows = sorted((tuple(r) for r in token_files.token_files(df, segment=5000).collect()), key=lambda r: r[1])
+    rows = sorted((tuple(r) for r in token_files.token_files(df, segment=segment).collect()), key=lambda r: r[1])
     docs = expected(df, "word_bpe_49k.json", 1)
     assert sorted((r[0], r[2], r[3]) for r in rows if r[0] is not None) == sorted((d, len(i), crc(i)) for d, i in docs if d is not None)
     assert len(rows) == len(docs)
@@ -97,6 +106,16 @@ def test_token_files(request, which):
     assert [r[0] for r in rows if r[0] is not None] == sorted(d for d, _ in docs if d is not None)
 
 
+def test_a_document_over_many_segments(spark):
+    """A text of more than a part goes on from segment to segment."""
+    docs = spark.createDataFrame([(i, "word and more " * (200_000 if i == 3 else i % 4)) for i in range(8)] + [(3, "b")] * 3, "doc_id bigint, text string")
+    table = token_files.write_tokens(docs, segment=100_000)
+    assert table.where("unfinished").count() >= 2 and table.agg({"tokens": "max"}).first()[0] < 600_000
+    rows = sorted((tuple(r) for r in token_files.read_tokens(table).collect()), key=lambda r: r[1])
+    assert sorted((r[0], r[2], r[3]) for r in rows) == sorted((d, len(i), crc(i)) for d, i in expected(docs, "word_bpe_49k.json", 1))
+    assert [r[1] for r in rows] == [sum(r[2] for r in rows[:k]) for k in range(len(rows))] and [r[0] for r in rows] == sorted(r[0] for r in rows)
+
+
 @pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
 def test_packing(request, which):
     df = request.getfixturevalue(which)

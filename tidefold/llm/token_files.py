@@ -1,18 +1,20 @@
 """Token files: ids of documents in ascending doc_id order, entropy coded for parallel decoding.
 
-Documents are dealt by ranges of doc_id; each partition tokenizes its
-documents and writes one file, a run of *segments* of a bounded number of
-tokens. A segment has its frequency table (shared by its blocks), an index
-with a checkpoint for each block (place, tokens, states, checksum), the
-documents' ids and lengths, and the coded words, so memory is bounded by a
-segment. The manifest (a row for each segment: file, place, tokens, documents)
-is written by Spark and names only files of tasks that were committed; a file
-has a name of its own for each attempt, so a retried or doubled task does no
-harm. Decoding reads any segment, or any block of one, alone.
+Documents are dealt by ranges of (doc_id, hash of the text, partition of the
+scan), so that a repeated id is spread, too; each partition tokenizes its
+documents to a run of *segments* of a bounded number of tokens, and a long
+document goes on in the next segment. A segment has its frequency table (shared
+by its blocks), an index with a checkpoint for each block (place, tokens,
+states, checksum), the documents' ids and lengths, and the coded words, so
+memory is bounded by a segment and a part of a text. Spark writes the segments,
+a row of a Parquet file for each, beside their counts: any store that Spark
+reaches will do, files of failed or doubled tasks are never seen, and the counts
+are read without the data. Decoding reads any segment, or any block of one,
+alone.
 
 Layout of a segment, little-endian: magic ``RANS``, u32 length of a zlib-packed
-header, the header (``numpy.savez``-free: u32 counts, then arrays in the order
-of ``_FIELDS``), then the words of all blocks.
+header, the header (u32 counts, then arrays in the order of ``_FIELDS``), then
+the words of all blocks.
 
 Defined cases: null text counts as empty, a document of the end id alone; null
 doc_ids come first; repeated doc_ids are ordered by the hash of the text; an
@@ -21,24 +23,23 @@ empty table gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import rans
-from tidefold.llm.common import or_empty, work_path, written
+from tidefold.llm.common import or_empty, written
 from tidefold.llm.tokens import encoder
 
 END_ID, VOCABULARY, SEGMENT = 1, "word_bpe_49k.json", 1 << 21
 _FIELDS = (("used", "<u4"), ("freq", "<u4"), ("docs", "<i8"), ("null", "u1"), ("lengths", "<u4"), ("n", "<u4"), ("words", "<u4"), ("crc32", "<u4"), ("states", "<u8"))
-MANIFEST = "part int, file string, place bigint, bytes bigint, before bigint, tokens bigint, docs bigint"
+#: ``chain`` is the first segment of the run of segments that documents tie together; ``unfinished``: the last document goes on in the next one.
+SEGMENTS = "part int, segment int, chain int, before bigint, tokens bigint, docs bigint, unfinished boolean, data binary"
 RESULT = "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -81,76 +82,78 @@ def read_segment(data: bytes, only: list[int] | None = None) -> tuple[list[int |
     return docs, head["lengths"].astype(np.int64), rans.decode(blocks, freq)
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, end_id: int = END_ID, vocabularies: str | None = None, segment: int = SEGMENT) -> DataFrame:
-    """Writes token files below ``folder`` and returns their manifest."""
-    spark = docs.sparkSession
-    folder = folder or work_path(spark, "token-files")
+def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, vocabularies: str | None = None, segment: int = SEGMENT) -> DataFrame:
+    """The table of token segments, written to the shared folder and opened again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out, done, place = TaskContext.get().partitionId(), None, 0, 0
-        encode, end = encoder(vocabulary, True, vocabularies).encode, np.array([end_id], "<u2").tobytes()
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        name = f"part-{part:05d}-{uuid.uuid4().hex}.rans"
-        docs, ids, held, rows = [], [], 0, []
-
-        def flush() -> None:
-            nonlocal docs, ids, held, done, place, out
-            if not docs:
-                return
-            if out is None:
-                fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(f"{base}/{name}")
-            data = segment_bytes(docs, ids)
-            out.write(data)
-            rows.append((part, name, place, len(data), done, held, len(docs)))
-            place, done = place + len(data), done + held
-            docs, ids, held = [], [], 0
+        part, number, chain, before = TaskContext.get().partitionId(), 0, 0, 0
+        encode, end = encoder(vocabulary, True, vocabularies), np.array([end_id], "<u2").tobytes()
+        docs: list[int | None] = []
+        ids: list[bytes] = []
+        held = 0
+
+        def flush(unfinished: bool) -> pa.RecordBatch:
+            nonlocal held, number, chain, before
+            row = (part, number, chain, before, held, len(docs), unfinished, segment_bytes(docs, ids))
+            number, before, held = number + 1, before + held, 0
+            chain = chain if unfinished else number
+            docs.clear(), ids.clear()
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in SEGMENTS.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 docs.append(doc.as_py())
-                ids.append(encode(text.as_py()) + end)
-                held += len(ids[-1]) // 2
+                ids.append(b"")
+                for piece in encode.parts_of(text.as_py()):
+                    if held >= segment:
+                        yield flush(True)
+                        docs.append(doc.as_py())
+                        ids.append(b"")
+                    ids[-1] += piece
+                    held += len(piece) // 2
+                ids[-1] += end
+                held += 1
                 if held >= segment:
-                    flush()
-        flush()
-        if out is not None:
-            out.close()
-        kinds = (pa.int32(), pa.string(), *[pa.int64()] * 5)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
+                    yield flush(False)
+        if docs:
+            yield flush(False)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", or_empty("text").alias("text")).repartitionByRange(parts, "doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, MANIFEST), "token-manifest").withColumn("file", F.concat(F.lit(folder + "/"), "file"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", or_empty("text").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("from"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "h", "from").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    return written(ordered.mapInArrow(run, SEGMENTS), "token-files")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` decoded from the files of a manifest; a task decodes whole segments."""
+def read_tokens(segments: DataFrame) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` decoded from the files; a task decodes segment by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crc, length = 0, 0  # of a document that the segment before left unfinished
         for batch in batches:
-            for part, file, place, size, before in zip(*(batch[c].to_pylist() for c in ("part", "file", "place", "bytes", "before"))):
-                fs, path = pyarrow.fs.FileSystem.from_uri(file if "://" in file else f"file://{file.removeprefix('file:')}")
-                with fs.open_input_file(path) as f:
-                    data = f.read_at(size, place)
+            for part, before, unfinished, data in zip(*(batch[c].to_pylist() for c in ("part", "before", "unfinished", "data"))):
                 docs, lengths, blocks = read_segment(data)
                 wide = memoryview(np.concatenate(blocks).astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
-                crc = [zlib.crc32(wide[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, lengths)]
-                columns = [pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()), pa.array(before + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
+                starts, sizes = before + ends - lengths, lengths.copy()
+                crcs = [zlib.crc32(wide[4 * int(e - n) : 4 * int(e)], crc if k == 0 else 0) for k, (e, n) in enumerate(zip(ends, lengths))]
+                starts[0], sizes[0] = starts[0] - length, sizes[0] + length
+                crc, length = (crcs[-1], int(sizes[-1])) if unfinished else (0, 0)
+                done = len(docs) - unfinished
+                columns = [pa.array(docs[:done], pa.int64()), pa.array([part] * done, pa.int32()), pa.array(starts[:done], pa.int64()), pa.array(sizes[:done], pa.int64()), pa.array(crcs[:done], pa.int64())]
                 yield pa.record_batch(columns, [c.split()[0] for c in RESULT.split(", ")])
 
-    starts, done = [], 0
-    for part, n in sorted(manifest.groupBy("part").agg(F.sum("tokens")).collect()):  # a row for each file
+    spark, starts, done = segments.sparkSession, [], 0
+    for part, n in sorted(segments.groupBy("part").agg(F.sum("tokens")).collect()):  # a row for each partition
         starts.append((part, done))
         done += n
     offsets = spark.createDataFrame(starts, "part int, first bigint")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    decoded = manifest.repartition(tasks, "file", "place").mapInArrow(run, RESULT)
+    dealt = segments.select("part", "segment", "chain", "before", "unfinished", "data").repartition(tasks, "part", "chain").sortWithinPartitions("part", "segment")
+    decoded = dealt.mapInArrow(run, RESULT)
     return decoded.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
     """Writes all documents to token files and reads them back."""
-    return read_tokens(docs.sparkSession, write_tokens(docs, **options))
+    return read_tokens(write_tokens(docs, **options))
