@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import SPACES, or_empty, written
 from tidefold.llm.shingles import in_slices, windows, word_hashes
 
-BUCKET_BITS, COMMON_SHARE, LANGUAGE_SHARE = 14, 0.003, 0.01
+BUCKET_BITS, COMMON_SHARE, LANGUAGE_SHARE, HELD_LANGUAGES = 14, 0.003, 0.01, 64
 MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 40, 0.24, 0.28
 RESULT = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -95,25 +95,33 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, bin, n): this partition's counts; kind 0 is character classes, 1 word buckets."""
+    """(lang, kind, bin, n): this partition's counts, of HELD_LANGUAGES at a time; kind 0 is character classes, 1 word buckets."""
     sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counts in sums.items():
+            for kind, n in enumerate(counts):
+                at = np.flatnonzero(n)
+                columns = [pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())]
+                yield pa.record_batch(columns, ["lang", "kind", "bin", "n"])
+        sums.clear()
+
     for batch in batches:
         langs = batch["lang"].to_pylist()
         for first, texts in in_slices(batch["text"].to_pylist()):
             chars = class_counts(texts)
             w, doc = word_hashes(texts)
             bucket = (w >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            own = np.array([str(x) for x in langs[first : first + len(texts)]])
-            for lang in set(langs[first : first + len(texts)]):
-                rows = own == str(lang)
+            place: dict[str | None, int] = {}
+            own = np.array([place.setdefault(x, len(place)) for x in langs[first : first + len(texts)]])
+            for lang, number in place.items():
+                rows = own == number
+                if len(sums) >= HELD_LANGUAGES and lang not in sums:
+                    yield from out()
                 c, b = sums.setdefault(lang, (np.zeros(CLASSES, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)))
                 c += chars[rows].sum(axis=0)
                 b += np.bincount(bucket[rows[doc]], minlength=1 << BUCKET_BITS)
-    for lang, counts in sums.items():
-        for kind, n in enumerate(counts):
-            at = np.flatnonzero(n)
-            columns = [pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())]
-            yield pa.record_batch(columns, ["lang", "kind", "bin", "n"])
+    yield from out()
 
 
 def _reference(lang: str | None, chars: list[tuple[int, int]], common: list[tuple[int, int]], words: int) -> dict:
