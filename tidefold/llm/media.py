@@ -5,7 +5,8 @@ lossless JPEG (process SOF3 of ITU-T T.81: prediction from the left neighbour,
 differences coded by a Huffman table), self-contained, in an AVI file with
 ``hdrl``, ``movi`` and ``idx1``. Reading finds frames through the RIFF index
 (or, without one, by walking ``movi``), parses the JPEG markers, and decodes
-all frames of a batch in step, one numpy vector over frames for each sample.
+the frames of a batch in step, one numpy vector over ``TOGETHER`` frames for
+each sample; a long text's frames are coded and decoded part by part.
 
 Shots: grey-value histograms of neighbouring frames are compared; a cut is a
 local maximum of the difference that exceeds the mean plus ``CUT_SIGMAS``
@@ -20,10 +21,11 @@ and ``decode_frames``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import or_empty
 
-SIDE, FRAME, RATE = 24, 576, 25
+SIDE, FRAME, RATE, TOGETHER = 24, 576, 25, 4096
 CUT_SIGMAS, CUT_LEAST, CUT_WINDOW, BINS = 3.0, 0.15, 12, 32
 RESULT = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
@@ -82,7 +84,11 @@ _CATEGORY = np.array([int(x).bit_length() for x in range(256)], np.int64)
 
 
 def encode_frames(samples: np.ndarray) -> list[bytes]:
-    """A lossless JPEG for each of (frames, FRAME) samples."""
+    """A lossless JPEG for each of (frames, FRAME) samples; ``TOGETHER`` frames at a time."""
+    return [f for at in range(0, len(samples), TOGETHER) for f in _encode(samples[at : at + TOGETHER])]
+
+
+def _encode(samples: np.ndarray) -> list[bytes]:
     n = len(samples)
     grid = samples.reshape(n, SIDE, SIDE).astype(np.int16)
     diff = (grid - _predicted(grid)).reshape(n, FRAME).astype(np.int64)
@@ -108,7 +114,7 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     place = np.arange(total) + np.cumsum(full) - full
     stuffed = np.zeros(total + int(full.sum()), np.uint8)
     stuffed[place] = data
-    grown = np.concatenate([[0], np.cumsum(np.add.reduceat(full.astype(np.int64), base))]) if n else np.zeros(1, np.int64)
+    grown = np.concatenate([[0], np.cumsum(np.add.reduceat(full.astype(np.int64), base))])
     cuts = np.concatenate([base, [total]]) + grown
     raw, head = stuffed.tobytes(), _headers()
     return [head + raw[a:b] + b"\xff\xd9" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -137,6 +143,19 @@ def write_avi(frames: list[bytes], rate: int = RATE) -> bytes:
     return _chunk(b"RIFF", b"AVI " + head + _list(b"movi", b"".join(body)) + _chunk(b"idx1", b"".join(index)))
 
 
+def _whole(read: Callable) -> Callable:
+    """``read``, with ValueError for whatever a cut-off file lacks."""
+
+    @functools.wraps(read)
+    def checked(*args):
+        try:
+            return read(*args)
+        except (IndexError, struct.error) as e:
+            raise ValueError("the file ends too soon") from e
+
+    return checked
+
+
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
@@ -146,6 +165,7 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
+@_whole
 def parse_avi(data: bytes) -> tuple[float, list[tuple[int, int]]]:
     """(frames a second, (place, size) of each video frame), by the index where there is one."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -200,10 +220,18 @@ def _parse_jpeg(data: bytes) -> tuple[tuple, int]:
             raise ValueError("only lossless frames are read")
 
 
+@_whole
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """(frames, height * width) samples; all frames must have one size and one code table."""
+    """(frames, height * width) samples, decoded ``TOGETHER`` at a time; all frames must have one size and one code table."""
     if not frames:
         return np.zeros((0, FRAME), np.uint8)
+    parts = [_decode(frames[at : at + TOGETHER]) for at in range(0, len(frames), TOGETHER)]
+    if len({shape for shape, _ in parts}) > 1:
+        raise ValueError("frames of different kinds")
+    return np.concatenate([samples for _, samples in parts])
+
+
+def _decode(frames: list[bytes]) -> tuple[tuple, np.ndarray]:
     parsed: dict[bytes, tuple] = {}
     bodies, shapes = [], set()
     for f in frames:  # frames with the same headers are parsed once
@@ -217,7 +245,7 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
         bodies.append(f[len(known) : -2])
     if len(shapes) > 1:
         raise ValueError("frames of different kinds")
-    height, width, counts, symbols = shapes.pop()
+    height, width, counts, symbols = shape = shapes.pop()
     look_n, look_s = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
     for s, (code, length) in huffman(list(counts), list(symbols)).items():
         low = code << (16 - length)
@@ -248,15 +276,19 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
         pos = pos + n + s
     if (pos > ends).any() or (out > 255).any():
         raise ValueError("a frame is damaged")
-    return out.T.astype(np.uint8)
+    return shape, out.T.astype(np.uint8)
+
+
+def _histograms(samples: np.ndarray) -> np.ndarray:
+    frame = np.repeat(np.arange(len(samples)), samples.shape[1])
+    return np.bincount(frame * BINS + (samples.ravel() >> 3), minlength=len(samples) * BINS).reshape(-1, BINS) / samples.shape[1]
 
 
 def cuts(samples: np.ndarray) -> list[int]:
     """The frames that begin a shot (without frame 0)."""
     if len(samples) < 2:
         return []
-    frame = np.repeat(np.arange(len(samples)), samples.shape[1])
-    hist = np.bincount(frame * BINS + (samples.ravel() >> 3), minlength=len(samples) * BINS).reshape(-1, BINS) / samples.shape[1]
+    hist = np.concatenate([_histograms(samples[at : at + TOGETHER]) for at in range(0, len(samples), TOGETHER)])
     d = np.abs(hist[1:] - hist[:-1]).sum(axis=1) / 2
     total, squares = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
     low, high = np.maximum(0, np.arange(len(d)) - CUT_WINDOW), np.minimum(len(d), np.arange(len(d)) + CUT_WINDOW + 1)

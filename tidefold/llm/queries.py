@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.examine(media.store(read_documents(spark, sf_dir).select("doc_id", "text"))).drop("clips")
+    return media.examine(media.store(read_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
