@@ -100,3 +100,24 @@ def test_query_columns(request, which):
         assert sum(c.frames for c in r.clips) * 576 == r.payload_bytes
     if which == "edge":
         assert media.clip_rows(media.store(df)).count() == sum(len(r.clips) for r in rows)
+
+
+def test_frames_are_coded_part_by_part(monkeypatch):
+    rng = np.random.default_rng(2)
+    frames = np.repeat(rng.integers(0, 256, (23, 1), dtype=np.uint8), media.FRAME, axis=1) + rng.integers(0, 9, (23, media.FRAME), dtype=np.uint8)
+    whole, cut = media.encode_frames(frames), media.cuts(frames)
+    monkeypatch.setattr(media, "TOGETHER", 5)
+    assert media.encode_frames(frames) == whole and (media.decode_frames(whole) == frames).all() and media.cuts(frames) == cut
+    assert media.encode_frames(frames[:0]) == [] and media.cuts(frames[:0]) == []
+
+
+def test_cut_off_files_raise_value_errors():
+    file = media.stored(["some text " * 200])[0]
+    frames = media.encode_frames(np.frombuffer(media.payload("x" * 700), np.uint8).reshape(-1, media.FRAME))
+    for n in range(0, len(file), 7):
+        with pytest.raises(ValueError):
+            rate, places = media.parse_avi(file[:n])
+            media.decode_frames([file[:n][a : a + k] for a, k in places] or [b""])
+    for n in range(len(frames[0])):
+        with pytest.raises(ValueError):
+            media.decode_frames([frames[0][:n]])
