@@ -72,12 +72,13 @@ def replay_cas(log: DataFrame, by: Sequence[str] = ("item",), kind: str | None =
 
 def get(entries: DataFrame, keys: DataFrame, key: str = "item", how: str = "left") -> DataFrame:
     """Requested keys with their values, null where absent."""
-    return keys.select(key).distinct().join(entries, key, how)
+    asked, named = keys.select(key).distinct(), entries.withColumnRenamed(key, "_key")
+    return asked.join(named, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
 
 
 def contains(keys: DataFrame, entries: DataFrame, key: str = "item") -> DataFrame:
     """The requested keys that exist."""
-    return keys.join(entries.select(key), key, "left_semi")
+    return keys.join(entries.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def position(entries: DataFrame, key: str, shards: int, rows: int = 64) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tidefold_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tidefold-")).resolve() / "tidefold.zip"
+    folder = Path(tempfile.mkdtemp(prefix="tidefold-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = folder / "tidefold.zip"
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
