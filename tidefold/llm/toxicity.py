@@ -11,15 +11,18 @@ Labels are read only for documents whose ``crc32(doc_id) mod 5`` is not 0:
 they choose the stems and anchor the start of the label model. No score has
 labels, lang, source or doc_id as an input.
 
-The sample is the ``SAMPLE`` labelled training rows of least hash, of texts of
-at most ``SAMPLE_CHARS`` characters; the model is a few hundred numbers and
-travels with the task.
+The sample, which bounds what reaches the driver, is the rows of the
+``SAMPLE`` labelled training documents of least hash, ``SAMPLE`` rows at most,
+of texts of at most ``SAMPLE_CHARS`` characters. The model is a few hundred
+numbers and travels with the task. The annotator is one of the voters. Rows
+without a label are not fitted: with as many of them in the fit (the annotator
+abstaining) held-out accuracy fell from 0.984 to 0.949 on one set of tables.
 
 Defined cases: null text counts as empty and scores like a text without hits;
 a null doc_id counts as held out; several labels of a document count by their
 largest; without labels or without toxic labels the fixed lexicon alone
-votes; an empty table gives an empty result; other columns pass through,
-those named like an output column are replaced.
+votes; an empty table gives an empty result; other columns, whatever their
+names, pass through, those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -27,17 +30,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import columns_but, or_empty
 
-SAMPLE, SAMPLE_CHARS, STEM_LETTERS, LEVELS, MISTAKES, MAX_STEMS = 6_000, 200_000, (4, 5, 6, 7), 3, 0.25, 60
+SAMPLE, SAMPLE_CHARS, STEM_LETTERS, LEVELS, MISTAKES, MAX_STEMS = 6_000, 50_000, (4, 5, 6, 7), 3, 0.25, 60
 
 #: Insults as whole words.
 LEXICON = (
@@ -225,28 +228,35 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows
-    chosen = chosen.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(or_empty("text").alias("text"), "__toxic")
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS).toPandas()
-    rows = rows.sort_values(["text", "__toxic"], kind="stable")  # the same model whatever the order of arrival
-    return fit(rows["text"].tolist(), (rows["__toxic"] > 0).to_numpy(dtype=float))
+    chosen = chosen.select(F.col("doc_id").alias("id"), "toxic")
+    texts = docs.select("doc_id", or_empty("text").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("id"), "id", "text").limit(sample).toPandas()  # a repeated doc_id has several rows
+    rows = rows.sort_values(["text", "toxic"], kind="stable")  # the same model whatever the order of arrival
+    return fit(rows["text"].tolist(), (rows["toxic"] > 0).to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted``."""
-    model = train(docs, labels, sample)
+def scorer(model: Model) -> Callable[[str], Column]:
+    """The score of a text column."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score([t or "" for t in texts]))
 
+    return scored
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with ``held_out``, ``score`` and ``predicted``."""
+    scored = scorer(train(docs, labels, sample))
     return docs.select(*columns_but(docs, "held_out", "score", "predicted"), held_out().alias("held_out"), scored("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).where("predicted = 0").select(*columns_but(docs))
+    """``docs`` without those whose score is 0.5 or more; all columns stay as they are."""
+    return docs.where(scorer(train(docs, labels))("text") < 0.5)
