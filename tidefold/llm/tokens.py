@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_WORDS, CACHE_PARTS, LONG = 1_200_000, 100_000, 1 << 20
+CACHE_WORDS, CACHE_PARTS, LONG = 700_000, 100_000, 1 << 20
 
 #: What the fast path splits; the same alternatives as the vocabularies' own patterns, on ASCII and Latin letters.
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ž"  # without U+0130, whose lower case is two characters
