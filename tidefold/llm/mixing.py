@@ -20,8 +20,9 @@ step is over one row per source.
 
 Defined cases: null text has 0 words; null source is a source, ranked last;
 repeated rows are documents of their own; a document without words takes 0;
-an empty table gives an empty result. Other columns pass through, but those
-named like an output column are replaced.
+an empty table gives an empty result; where ``share`` asks for more than all
+caps, every target is its cap. Other columns, whatever their names, pass
+through, but those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import columns_but, n_words, or_empty
+from tidefold.llm.common import columns_but, n_words, or_empty, unused_prefix
 
 #: (time, weight) knots; they integrate to weights 3, 1 and 2.
 SCHEDULES = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)))
@@ -77,46 +78,48 @@ def source_targets(sizes: DataFrame, share: float, max_repeat: int, weights: Seq
         F.sum("w").over(whole) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
     )
     leveled = ranked.withColumn("level", level)
-    # the first level that no later source exceeds is the water level
+    # the first level that no later source exceeds is the water level; without one all sources are full
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
     water = F.max(fits).over(whole)
-    target = F.least(F.col("cap").cast("double"), F.coalesce(water, F.lit(0.0)) * F.col("w"))
+    target = F.least(F.col("cap").cast("double"), F.coalesce(water * F.col("w"), F.col("cap").cast("double")))
     return leveled.withColumn("target", target).select("source", "source_size", "class", "target")
 
 
 def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, schedules: Sequence = SCHEDULES) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` (words) and ``positions`` (array of training times)."""
+    p = unused_prefix(docs)
+    r, tie, s, null, b, n, before, within, kind = (f"{p}{name}" for name in ("r", "tie", "s", "null", "b", "n", "before", "in", "class"))
     order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select(
         *columns_but(docs, *ADDED, "positions"),
         n_words("text").alias("size"),
-        order_key.alias("__r"),
-        F.md5(or_empty("text")).alias("__tie"),
-        F.coalesce("source", F.lit("")).alias("__s"),
-        F.col("source").isNull().alias("__null"),
-        F.substring(order_key, 1, 3).alias("__b"),
+        order_key.alias(r),
+        F.md5(or_empty("text")).alias(tie),
+        F.coalesce("source", F.lit("")).alias(s),
+        F.col("source").isNull().alias(null),
+        F.substring(order_key, 1, 3).alias(b),
     )
-    cell = ["__s", "__null", "__b"]  # no nulls, so that window and join take one and the same exchange
-    buckets = sized.groupBy(*cell).agg(F.sum("size").alias("__n"))
-    per_source = Window.partitionBy("__s", "__null").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(per_source), F.lit(0)))
-    sizes = buckets.groupBy("__s", "__null").agg(F.sum("__n").alias("source_size"))
-    targets = source_targets(sizes.select(F.when(~F.col("__null"), F.col("__s")).alias("source"), "source_size"), share, max_repeat, [weight(k) for k in schedules])
-    targets = targets.select(F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__null"), "source_size", "target", F.col("class").alias("__class"))
-    starts = buckets.join(targets, ["__s", "__null"]).select(*cell, "__before", "source_size", "target", "__class")
-    inside = Window.partitionBy(*cell).orderBy("__r", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, cell)
-    middle = [2 * (F.lit(j) * F.col("source_size") + F.col("__before") + F.col("__in")) + F.col("size") for j in range(max_repeat)]
+    cell = [s, null, b]  # no nulls, so that window and join take one and the same exchange
+    buckets = sized.groupBy(*cell).agg(F.sum("size").alias(n))
+    per_source = Window.partitionBy(s, null).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn(before, F.coalesce(F.sum(n).over(per_source), F.lit(0)))
+    sizes = buckets.groupBy(s, null).agg(F.sum(n).alias("source_size"))
+    targets = source_targets(sizes.select(F.when(~F.col(null), F.col(s)).alias("source"), "source_size"), share, max_repeat, [weight(k) for k in schedules])
+    targets = targets.select(F.coalesce("source", F.lit("")).alias(s), F.col("source").isNull().alias(null), "source_size", "target", F.col("class").alias(kind))
+    starts = buckets.join(targets, [s, null]).select(*cell, before, "source_size", "target", kind)
+    inside = Window.partitionBy(*cell).orderBy(r, tie).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn(within, F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, cell)
+    middle = [2 * (F.lit(j) * F.col("source_size") + F.col(before) + F.col(within)) + F.col("size") for j in range(max_repeat)]
     times = []
     for m in middle:
         u, t = m / (2 * F.col("target")), F.lit(None).cast("double")
         for c, knots in enumerate(schedules):
-            t = F.when(F.col("__class") == c, inverse_demand(knots, u)).otherwise(t)
+            t = F.when(F.col(kind) == c, inverse_demand(knots, u)).otherwise(t)
         times.append(F.when((F.col("size") > 0) & (m < 2 * F.col("target")), t))
     return (
         placed.withColumn("positions", F.array_compact(F.array(*times)))
         .withColumn("taken", F.col("size") * F.size("positions"))
-        .drop("__r", "__tie", "__s", "__null", "__b", "__in", "__before", "__class")
+        .drop(r, tie, s, null, b, within, before, kind)
     )
 
 
