@@ -11,8 +11,16 @@ least sum of logarithms. A value that takes at least ``10 ** GUESSES`` guesses
 is a secret; its span has kind ``guess``. Cost and memory grow linearly with a
 value's length.
 
-Defined cases: null text counts as empty; repeated rows are scanned each; an
-empty table gives an empty result; other columns are left out.
+The dictionary is the fixed list of common passwords, and behind it the
+``WORDS`` commonest words of all documents in order of their counts: a guesser
+who knows the corpus tries its words first. A word's place is its number of
+guesses. The counts are taken over every text, word by word added up before
+they are shuffled; only the dictionary, bounded by ``WORDS``, reaches the
+driver and the tasks.
+
+Defined cases: null text counts as empty; repeated rows are scanned each;
+words of one count are ordered by their letters; an empty table gives an empty
+result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,14 +29,16 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidefold.llm.common import or_empty
 
-GUESSES = 10.0
+GUESSES, WORDS, HELD_WORDS = 10.0, 20_000, 200_000
 KINDS = ("assign", "access", "hex", "guess")
 RESULT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint"
 
@@ -45,7 +55,7 @@ _RUN = re.compile(r"[!-~]*")
 _AFTER = "\"'`,;.)!?"
 _MAYBE = ("pass", "pwd", "secret", "token", "key", "credential", "login", "auth")
 
-#: Common passwords and words in them, commonest first; a word's place is its number of guesses.
+#: Common passwords and words in them, commonest first.
 COMMON = (
     "password pass secret admin token key login user test welcome qwerty letmein monkey dragon master hello love "
     "root guest default changeme example sample dummy none null true false your here value name data string text "
@@ -54,8 +64,8 @@ COMMON = (
     "spring autumn monday friday server system database private public service account email company home work "
     "computer internet network security demo temp backup staging production"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+#: Words that the corpus is asked for: no longer than what a value can hold of them at a bearable cost.
+_WORD = re.compile(r"(?<![a-z])[a-z]{3,16}(?![a-z])")
 #: Letters written as other characters.
 _PLAIN = str.maketrans("4@8301!5$7", "aabeoiisst")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -64,20 +74,28 @@ _BESIDE |= {(a, b) for up, down in zip(_ROWS[:3], (_ROWS[1], _ROWS[2], _ROWS[3])
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d", re.ASCII)
 
 
+class Dictionary:
+    """Words in the order in which they are guessed."""
+
+    def __init__(self, further: Iterable[str] = ()):
+        self.rank = {w: i for i, w in enumerate(dict.fromkeys([*COMMON, *further]), 1)}
+        self.longest = max(map(len, self.rank))
+
+
 def _charset(value: str) -> int:
     """The size of the alphabet a brute-force guesser would take."""
     size = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value)
     return (size + 33 * any(not c.isalnum() for c in value)) or 10
 
 
-def pieces(value: str) -> Iterator[tuple[int, int, str, float]]:
+def pieces(value: str, words: Dictionary) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, log10 of guesses) of words, dates, repeats and walks in a value."""
     low = value.lower()
     plain = low.translate(_PLAIN)
     for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + _LONGEST) + 1):
+        for j in range(i + 3, min(len(value), i + words.longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
-                if rank := _RANK.get(form[i:j]):
+                if rank := words.rank.get(form[i:j]):
                     own = value[i:j]
                     case = 0.0 if own == own.lower() else 0.3 if own[1:] == own[1:].lower() or own == own.upper() else 0.3 * sum(map(str.isupper, own))
                     yield i, j, "word", math.log10(rank + 1) + extra + case
@@ -109,11 +127,11 @@ def pieces(value: str) -> Iterator[tuple[int, int, str, float]]:
             i += 1
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Dictionary) -> float:
     """The least log10 number of guesses over all segmentations; each piece also costs what its place does."""
     n, digit = len(value), math.log10(_charset(value))
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, _, cost in pieces(value):
+    for i, j, _, cost in pieces(value, words):
         ending.setdefault(j, []).append((i, cost))
     inf, per_piece = float("inf"), 0.3
     best, brute = [0.0] + [inf] * n, [inf] * (n + 1)  # brute: the last piece is a brute-force span
@@ -149,7 +167,7 @@ def _value_end(text: str, start: int, end: int, stop: int) -> int:
     return far
 
 
-def guessed_spans(text: str) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, words: Dictionary) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in a credential context that are hard to guess."""
     low = text.lower()
     if not any(k in low for k in _MAYBE):
@@ -168,25 +186,54 @@ def guessed_spans(text: str) -> list[tuple[int, int, int]]:
             end -= 1
         if end - start >= 6:
             found.append((start, end))
-    return [(a, 3, b) for a, b in sorted(values + found) if guess_cost(text[a:b]) >= GUESSES]
+    return [(a, 3, b) for a, b in sorted(values + found) if guess_cost(text[a:b], words) >= GUESSES]
 
 
-def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str, words: Dictionary) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans)."""
     base = base_spans(text)
-    return base, sorted(base + guessed_spans(text))
+    return base, sorted(base + guessed_spans(text, words))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): what this partition holds of each word, in parts of about HELD_WORDS words."""
+    held: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        batch = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        held.clear()
+        return batch
+
+    for batch in batches:
+        for text in batch["text"]:
+            held.update(_WORD.findall(text.as_py().lower()))
+            if len(held) >= HELD_WORDS:
+                yield out()
+    yield out()
+
+
+def dictionary(docs: DataFrame, words: int = WORDS) -> Dictionary:
+    """The commonest words of all documents behind the fixed ones."""
+    counts = docs.select(or_empty("text").alias("text")).mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # by ranges, so that the driver gets the first partitions' rows and not as many of every partition
+    order = [F.col("n").desc(), F.col("word")]
+    ranges = counts.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return Dictionary(r["word"] for r in ranges.limit(words).collect())
+
+
+def scan(docs: DataFrame, words: Dictionary | None = None) -> DataFrame:
+    """Counts and spans of each document; ``words`` stands for the corpus's own dictionary."""
+    known = words or dictionary(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                base, every = scan_text(text.as_py())
+                base, every = scan_text(text.as_py(), known)
                 n = [sum(k == kind for _, k, _ in every) for kind in range(4)]
                 rows.append((*n[:3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), n[3]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
