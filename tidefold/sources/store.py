@@ -19,6 +19,7 @@ unique, and larger in later appends. Null keys are keys and null is a value.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from dataclasses import dataclass
@@ -104,7 +105,7 @@ class Store:
                 return json.loads(self.folder.read(f"commits/{name}"))
             except ValueError:  # a crash cut it off
                 continue
-        return {"snapshot": None, "shards": num_shards_of(self.config.expected_keys), "rows": 0, "logs": [], "log_bytes": 0, "cas": False, "batches": {}}
+        return {"snapshot": None, "shards": num_shards_of(self.config.expected_keys), "rows": 0, "ns": [], "logs": [], "log_rows": 0, "log_bytes": 0, "cas": False, "batches": {}}
 
     def _commit(self, state: dict) -> None:
         taken = self.folder.names("commits")
@@ -145,10 +146,12 @@ class Store:
         checked = stats.limits(rows, F.coalesce(key, F.lit(0)), F.coalesce(value, F.lit(0)), self.config.max_key, self.config.max_value, self.config.max_shard_size)
         valid = F.coalesce(F.raise_error(F.col("error")).cast("boolean"), F.lit(True))
         checked.where(F.when(F.col("error").isNull(), True).otherwise(valid)).drop("error").write.parquet(f"{self.path}/{name}")
-        cas = state["cas"] or not self._read(name).where("expected is not null").isEmpty()
+        new = self._read(name).agg(F.collect_set("ns").alias("ns"), F.count("*").alias("rows"), F.count("expected").alias("cas")).first()
+        size = state["log_bytes"] + self.folder.size(name)
+        counts = {"ns": sorted({*state["ns"], *new["ns"]}), "log_rows": state["log_rows"] + new["rows"], "log_bytes": size, "cas": state["cas"] or new["cas"] > 0}
         batches = state["batches"] | ({batch[0]: batch[1]} if batch else {})
-        self._commit(state | {"logs": [*state["logs"], name], "log_bytes": state["log_bytes"] + self.folder.size(name), "cas": cas, "batches": batches})
-        if state["log_bytes"] + self.folder.size(name) >= self.config.min_compaction_threshold:
+        self._commit(state | counts | {"logs": [*state["logs"], name], "batches": batches})
+        if size >= self.config.min_compaction_threshold:
             self.compact()
 
     def sink(self, stream: DataFrame, checkpoint: str, name: str = "stream") -> StreamingQuery:
@@ -168,7 +171,7 @@ class Store:
         """Folds snapshot and logs into a new snapshot, split or merged to as many shards as it needs."""
         before = self.state()
         size = before["log_bytes"] + (self.folder.size(before["snapshot"]) if before["snapshot"] else 0)
-        shards = self.shards_for(before["rows"] + self.log().count(), size)
+        shards = self.shards_for(before["rows"] + before["log_rows"], size)
         name = f"snapshot-{uuid.uuid4().hex}"
         placed = self._compacted().withColumn("shard", self.shard(F.col("coll"), F.col("item"), shards)).hint("rebalance", "shard")
         writer = placed.sortWithinPartitions("shard", "item").write.partitionBy("shard")
@@ -178,11 +181,12 @@ class Store:
         now = self.state()
         logs = [x for x in now["logs"] if x not in before["logs"]]  # appended meanwhile
         rows = self._read(name).count()
-        self._commit(now | {"snapshot": name, "shards": shards, "rows": rows, "logs": logs, "log_bytes": sum(map(self.folder.size, logs)), "cas": now["cas"] if logs else False})
+        counts = {"rows": rows, "log_rows": now["log_rows"] - before["log_rows"], "log_bytes": sum(map(self.folder.size, logs)), "cas": now["cas"] if logs else False}
+        self._commit(now | counts | {"snapshot": name, "shards": shards, "logs": logs})
         self.vacuum()
 
     def clear(self) -> None:
-        self._commit(self.state() | {"snapshot": None, "shards": num_shards_of(self.config.expected_keys), "rows": 0, "logs": [], "log_bytes": 0, "cas": False})
+        self._commit(self.state() | {"snapshot": None, "shards": num_shards_of(self.config.expected_keys), "rows": 0, "ns": [], "logs": [], "log_rows": 0, "log_bytes": 0, "cas": False})
 
     # reading
 
@@ -245,15 +249,18 @@ class Store:
         return self.snapshot().drop("shard").unionByName(self.log())
 
     def _compacted(self) -> DataFrame:
-        cas, every = self.state()["cas"], self._all()
-        out = None
-        for ns in (MAP, LIST):
-            live = self._played(every.where(F.col("ns") == ns), cas)
-            part = self._rows(live.withColumn("seq", F.col("born")).withColumn("ns", F.lit(ns)).withColumn("op", F.lit("set")))
-            out = part if out is None else out.unionByName(part)
+        state, every, parts = self.state(), self._all(), []
+        for ns in sorted({MAP, LIST} & set(state["ns"])):
+            live = self._played(every.where(F.col("ns") == ns), state["cas"])
+            parts.append(self._rows(live.withColumn("seq", F.col("born")).withColumn("ns", F.lit(ns)).withColumn("op", F.lit("set"))))
+        if QUEUE in state["ns"]:
+            parts.append(self._compacted_queues(every))
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self._read()
+
+    def _compacted_queues(self, every: DataFrame) -> DataFrame:
         queues = self._queues(every.where(F.col("ns") == QUEUE), True)
         first = F.when(F.col("op") == "load", -1).otherwise(-2)  # a queue's range comes before its elements
-        return out.unionByName(self._rows(queues.withColumn("seq", first).withColumn("ns", F.lit(QUEUE))))
+        return self._rows(queues.withColumn("seq", first).withColumn("ns", F.lit(QUEUE)))
 
     def entries(self) -> DataFrame:
         """The live ``(item, val)`` of the map."""
