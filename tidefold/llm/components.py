@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping."""
+"""Connected components by hooking to the least neighbour and contracting the edges."""
 
 from __future__ import annotations
 
@@ -11,19 +11,41 @@ from tidefold.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """``(id, label)`` for the ends of ``edges(u, v)``; the label is the least id of the component.
 
-    Each round takes the least label of the neighbours, then of the label
-    itself; rounds grow with the logarithm of the longest chain. Every round is
-    written to the shared folder. Labels of a hot vertex are combined before
-    they are shuffled, and the join on it is one that can be split.
+    An edge is kept once, from its larger end to its smaller. Each round hangs
+    every vertex that has a smaller neighbour on the least of them, finds the
+    roots of these trees by pointer jumping, and moves the edges to the roots;
+    those inside a tree are gone. Of two rounds, a root takes in a vertex in the
+    first or is hung itself in the second, so that rounds grow with the
+    logarithm of the vertices, and later rounds read what edges are left only:
+    of a group around one vertex none. Every step is written to the shared
+    folder. Neighbours of a hot vertex are combined before they are shuffled,
+    and the joins on it are ones that can be split.
     """
-    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("id"), "label"), "labels")
+    edges = written(_falling(edges), "edges")
+    ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    labels = written(ends.select("id", F.col("id").alias("label")), "labels")
+    while not edges.isEmpty():
+        roots = _roots(edges.groupBy("u").agg(F.min("v").alias("up")))
+        at, root = roots.select(F.col("u").alias("at"), F.col("up").alias("root")), F.coalesce("root", "label").alias("label")
+        labels = written(labels.join(at, labels["label"] == at["at"], "left").select("id", root), "labels")
+        moved = edges.join(roots, "u").select(F.col("up").alias("u"), "v")
+        moved = moved.join(at, moved["v"] == at["at"], "left").select("u", F.coalesce("root", "v").alias("v"))
+        edges = written(_falling(moved), "edges")
+    return labels
+
+
+def _falling(edges: DataFrame) -> DataFrame:
+    """The different edges, from the larger end to the smaller, without loops."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """``up(u, up)`` with the root of each tree in place of the vertex above."""
+    up = written(up, "roots")
     while True:
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["id"] == near["u"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = labels.select(F.col("id").alias("at"), F.col("label").alias("beyond"))
-        new = lower.join(jump, lower["label"] == jump["at"]).select("id", F.least("label", "beyond").alias("label"), "was")
-        new = written(new, "labels")
-        if new.where("label <> was").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        above = up.select(F.col("u").alias("at"), F.col("up").alias("beyond"))
+        new = up.select("u", "up").join(above, up["up"] == above["at"], "left")
+        new = written(new.select("u", F.coalesce("beyond", "up").alias("up"), F.col("up").alias("was")), "roots")
+        if new.where("up <> was").isEmpty():
+            return new.select("u", "up")
+        up = new.select("u", "up")
