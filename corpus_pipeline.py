@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, in the order of the mixed table's files and rows."""
-    return packing.pack(docs, stored=True)
+    return packing.pack(docs, stored=True, keep=False)
 
 
 STAGES = [

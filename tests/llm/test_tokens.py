@@ -150,3 +150,13 @@ def test_whole_sequences(documents):
     stream = b"".join(rows[k] for k in sorted(rows))
     for _, ids in expected(df, "byte_bpe_50k.json", 0)[:40]:
         assert np.array(ids, "<u2").tobytes() in stream
+
+
+def test_workers_of_a_pipeline_forget(spark, documents):
+    """Without ``keep`` the ids are the same, and no unit stays in the encoder's cache after a task."""
+    kept = packing.tokenized(documents).orderBy("doc_id").select("doc_id", "n", "ids").collect()
+    assert packing.tokenized(documents, keep=False).orderBy("doc_id").select("doc_id", "n", "ids").collect() == kept
+    one = encoder(packing.VOCABULARY, False)
+    assert one.encode("some words of a text") and len(one.cache)
+    one.forget()
+    assert not (one.cache or one.older or one.parts)

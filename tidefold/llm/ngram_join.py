@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import columns_but, or_empty, unused_prefix, written
+from tidefold.llm.common import columns_but, lean, or_empty, unused_prefix, written
 from tidefold.llm.components import components
 from tidefold.llm.shingles import HASHES, in_slices, mixed, shingles, signatures
 
@@ -53,6 +53,7 @@ BANDS, STEP, TOLERANCE, BROADCAST_ROWS = 36, 24, 1e-7, 100_000
 LEAST, SIDE, BLOCK_TEXTS, BLOCK_SHINGLES, HEAVY, SLAB = 128, 8, 8192, 1 << 20, 1 << 17, 256
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, th, bands) of each text."""
     salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -72,6 +73,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([part["doc_id"], part["th"], pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "bands"])
 
 
+@lean
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(comp, id, sig, sh): the low bytes of the MinHash values, the sorted shingle set."""
     for whole in batches:
@@ -182,6 +184,7 @@ def _tile(rows: dict[int, tuple[int, bytes, bytes]], low: int, high: int) -> tup
     return every, count, every[groups.root]
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, links) from rows sorted by (comp, low, high): counts have no v, edges no links."""
 

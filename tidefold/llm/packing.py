@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import or_empty, written
+from tidefold.llm.common import lean, or_empty, written
 from tidefold.llm.tokens import encoder
 
 SEQUENCE, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
@@ -44,10 +44,11 @@ def _scanned(docs: DataFrame) -> bool:
     return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
 
 
-def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, folder: str | None = None, stored: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, folder: str | None = None, stored: bool = False, keep: bool = True) -> DataFrame:
     """``(part, file, first, before, doc_id, n, ids)``: ids as little-endian 16 bits, ``before`` counted inside the partition.
 
     With ``stored`` it is counted inside the run that begins at row ``first`` of ``file``.
+    Without ``keep`` a worker empties the encoder's cache after each task, where other stages need its memory.
     """
     stored = stored and _scanned(docs)
 
@@ -73,9 +74,15 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
                 columns = [pa.array([part] * len(n), pa.int32()), pa.array(files, pa.string()), pa.array(firsts, pa.int64()), pa.array(before, pa.int64()), batch["doc_id"], pa.array(n), pa.array(ids, pa.binary())]
                 yield pa.record_batch(columns, ["part", "file", "first", "before", "doc_id", "n", "ids"])
 
+    def forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            encoder(vocabulary, False, folder).forget()
+
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if stored else []
     rows = docs.select("doc_id", or_empty("text").alias("text"), *place)
-    return rows.mapInArrow(run, "part int, file string, first bigint, before bigint, doc_id bigint, n bigint, ids binary")
+    return rows.mapInArrow(lean(run if keep else forgetting), "part int, file string, first bigint, before bigint, doc_id bigint, n bigint, ids binary")
 
 
 def _in_order(key: tuple[int, str | None, int]) -> tuple:
@@ -119,7 +126,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, table: DataFrame | None = None,
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
-    return table.mapInArrow(run, PIECES)
+    return table.mapInArrow(lean(run), PIECES)
 
 
 def sequences(docs: DataFrame, size: int = SEQUENCE, **options) -> DataFrame:

@@ -72,9 +72,13 @@ class CachedEncoder:
         self.lead = "" if lower else " "
         self.mark = self.lead.translate(self.alphabet)
         self.pieces = _WORD_PIECES if lower else _BYTE_PIECES
-        self.cache, self.older, self.parts = _Cache(self._new), {}, {}
+        self.forget()
         self.closers = {c: self.whole(c) for c in _CLOSERS}
 
+    def forget(self) -> None:
+        """Empties the caches, which grow with the units seen."""
+        self.cache, self.older, self.parts = _Cache(self._new), {}, {}
+
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
