@@ -155,6 +155,24 @@ def test_lists_queues_and_types(spark):
     assert {r.idx: bytes(r.val) for r in store.elements().collect()} == queue.values
 
 
+@pytest.mark.parametrize("end", ["push_tail", "push_head"])
+def test_a_queue_of_holes_keeps_its_range(spark, end):
+    """The ends and the middle are removed by index; what is left holds no element, but the next push goes on from its range."""
+    calls = [*[("push_tail", float(i), None) for i in range(4)], *[("remove", None, i) for i in (2, 0, 1, 3)], (end, 4.0, None)]
+    queue, store = QueueState(), Store(spark, fresh(spark, "store"))
+    log = spark.createDataFrame([(i, QUEUE, op, 7, val, idx) for i, (op, val, idx) in enumerate(calls)], "seq bigint, ns string, op string, coll bigint, val double, idx bigint")
+    for op, val, idx in calls[:-1]:
+        queue.apply(op, val, idx)
+    assert (queue.head, queue.tail, queue.values) == (2, 3, {})
+    store.append(log.where("seq < 8"))
+    store.compact()
+    assert store.elements().count() == 0
+    store.compact()
+    store.append(log.where("seq >= 8"))
+    queue.apply(*calls[-1])
+    assert {r.idx: r.val for r in store.elements().collect()} == queue.values == {3 if end == "push_tail" else 1: 4.0}
+
+
 def test_limits_sizes_and_thresholds(spark):
     store = Store(spark, fresh(spark, "store"), Config(max_shard_size=2000, min_compaction_threshold=1), item="string", val="string")
     row = lambda key, val, seq=0: spark.createDataFrame([(seq, "set", key, val)], "seq bigint, op string, item string, val string")

@@ -240,7 +240,8 @@ class Store:
                 queue.apply(row.op, row.val, row.idx)
 
         def finish(key: tuple, queue: QueueState):
-            ends = [(key[0], "range_head", queue.head, None), (key[0], "range_tail", queue.tail, None)] if ranges and queue.values else []
+            held = queue.head < queue.tail  # holes alone hold a range, too
+            ends = [(key[0], "range_head", queue.head, None), (key[0], "range_tail", queue.tail, None)] if ranges and held else []
             return ends + [(key[0], "load", i, queue.values[i]) for i in sorted(queue.values)]
 
         return ordered_fold(rows, ["coll"], QueueState, step, f"coll {kinds['coll']}, op string, idx bigint, val {kinds['val']}", finish)
