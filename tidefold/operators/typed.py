@@ -51,33 +51,41 @@ def decoded(text: Column, kinds: Sequence[str], strict: bool = False) -> Column:
     return F.from_json(text, ", ".join(f"_{i} {k}" for i, k in enumerate(kinds)), {"mode": "FAILFAST" if strict else "PERMISSIVE"})
 
 
-def _turned(digits: Column) -> Column:
-    """Hex digits of bytes in the other order of bytes."""
-    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")
+def _turned(data: Column) -> Column:
+    """Bytes in the other order: each is one character of Latin-1."""
+    return F.encode(F.reverse(F.decode(data, "ISO-8859-1")), "ISO-8859-1")
 
 
 def to_bytes(value: Column, kind: str) -> Column:
     """The little-endian bytes of a built-in type of a fixed size."""
     number = F.ascii(value) if kind == "char" else value.cast("int") if kind == "bool" else value
     digits = F.hex(number.cast("bigint")) if kind not in ("u64", "usize") else F.conv(number.cast("string"), 10, 16)
-    return F.unhex(_turned(F.right(F.lpad(digits, 16, "0"), F.lit(2 * SIZES[kind]))))
+    return _turned(F.unhex(F.substring(F.lpad(digits, 16, "0"), -2 * SIZES[kind], 2 * SIZES[kind])))
 
 
 def from_bytes(data: Column, kind: str) -> Column:
-    """The value of little-endian bytes; an error where there are too few or too many, or no such value."""
+    """The value of little-endian bytes; an error where there are too few or too many, or no such value.
+
+    No step names what it is built on twice, or Spark would work that out as
+    often: the number is shifted down from the top of 64 bits, with its sign or
+    without.
+    """
     size, spark_type = SIZES[kind], TYPE_IDS[kind][1]
     wrong = F.raise_error(F.format_string(f"%d bytes are no {kind}", F.octet_length(data)))
-    unsigned = F.conv(_turned(F.hex(data)), 16, 10).cast("decimal(20,0)")
-    limit = F.lit(str(1 << (8 * size))).cast("decimal(20,0)")
     if kind == "bool":
-        value = F.when(unsigned <= 1, unsigned == 1)
-    elif kind == "char":
-        value = F.char(unsigned.cast("bigint"))
-    elif kind.startswith("i"):
-        value = F.when(unsigned >= limit / 2, unsigned - limit).otherwise(unsigned).cast(spark_type)
+        right, value = F.coalesce(F.hex(data), F.lit("00")).isin("00", "01"), F.hex(data) == "01"
     else:
-        value = unsigned.cast(spark_type)
-    return F.when(data.isNull(), F.lit(None).cast(spark_type)).when((F.octet_length(data) == size) & value.isNotNull(), value).otherwise(wrong.cast(spark_type))
+        right = F.coalesce(F.octet_length(data), F.lit(size)) == size
+        digits, free = F.rpad(F.hex(_turned(data)), 16, "0"), 64 - 8 * size
+        top = F.conv(digits, 16, -10).cast("bigint")
+        if spark_type == "decimal(20,0)":
+            value = F.conv(digits, 16, 10)
+        elif kind.startswith("i"):
+            value = F.shiftright(top, free)
+        else:
+            value = F.shiftrightunsigned(top, free)
+        value = F.char(value) if kind == "char" else value.cast(spark_type)
+    return F.when(right, value).otherwise(wrong.cast(spark_type))
 
 
 @dataclass(frozen=True)
